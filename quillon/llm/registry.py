@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import op3_chat_format
+from .quality_model import op7_quality_classifier
 from .quality_rules import op9_quality_rules
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
 }
 
