@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op3_chat_format
+from .ngram_join import op10_ngram_join
 from .quality_model import op7_quality_classifier
 from .quality_rules import op9_quality_rules
 from .toxicity import op2_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
