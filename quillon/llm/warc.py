@@ -53,7 +53,8 @@ def page_records(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
 
 def write_files(records: DataFrame, path: str, record_col: str = "record") -> None:
     """Uncompressed WARC files, one for each partition, in the partition's order."""
-    records.select(record_col).write.option("lineSep", "").text(path)
+    # A record ends in a line feed, which the writer puts behind each row.
+    records.select(F.substring(F.col(record_col), F.lit(1), F.length(record_col) - 1).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
