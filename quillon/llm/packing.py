@@ -25,20 +25,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, blocks, hash_spans, read, words
+from .common import Scratch, blocks, hash_spans, read, runs, words
+from .terms import fold
 
 SIZE = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 1 << 19  # distinct words whose ids a worker keeps
+CACHED = 1 << 18  # distinct words whose ids a worker keeps
 
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
+# Kinds of bytes in plain words; digits get two kinds in turn, as each is a token of its own before the merges.
+_LETTER, _DIGIT, _MARK, _WHOLE = 1, 2, 4, 5
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[128:] = _LETTER
+_PLAIN = np.zeros(256, bool)  # bytes that may stand in a plain word
+_PLAIN[:128] = _PLAIN[0xC3] = _PLAIN[0x80:0xC0] = True
+_PLAIN[[*range(0, 9), *range(14, 32), 39, 60, 127]] = False  # controls, the apostrophe and the start of special tokens
+
+
+def parts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, rows, whole): pieces of text that the vocabulary's own splitting never crosses.
+
+    A word of ASCII and Latin-1 letters is lower-cased here and split into letter runs, digits and mark runs, as the vocabulary does;
+    any other word (apostrophes, special tokens, other scripts, combining marks) is left whole for the library.
+    """
+    starts, ends, _ = words(data, off)
+    ok = _PLAIN[data]
+    if len(data) > 1:  # second bytes only behind C3, and not the two signs among the Latin-1 letters
+        tail = (data[1:] >= 0x80) & (data[1:] < 0xC0)
+        ok[1:] &= ~tail | ((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    bad = np.concatenate([[0], np.cumsum(~ok)])
+    whole = np.flatnonzero(bad[ends] > bad[starts])
+    kinds, text = _KIND[data], fold(data)
+    kinds[(kinds == _DIGIT) & (np.arange(len(data)) & 1 == 1)] = _DIGIT + 1
+    for i in whole.tolist():
+        kinds[starts[i] : ends[i]] = _WHOLE
+        text[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+    starts, ends, rows = runs(kinds, off)
+    return text, starts, ends, rows, kinds[starts] == _WHOLE
+
+
 class WordIds:
-    """Ids of texts, by a cache of words: this vocabulary's merges never cross white space, so equal words have equal ids."""
+    """Ids of texts, by a cache of parts of words: equal parts have equal ids."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,28 +86,37 @@ class WordIds:
         self.place: dict[int, int] = {}
         self.first, self.size, self.flat, self.n, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
-        for h, e in zip(hashes, found, strict=True):
-            ids = e.ids
-            if self.n == len(self.first):
-                self.first, self.size = np.resize(self.first, 2 * self.n), np.resize(self.size, 2 * self.n)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[self.n], self.size[self.n] = self.used, len(ids)
-            self.place[h] = self.n
-            self.n, self.used = self.n + 1, self.used + len(ids)
+    def _put(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self.n + len(hashes), self.used + len(ids)
+        while n > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : used], self.size[self.n : n] = ids, sizes
+        self.first[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.place.update(zip(hashes, range(self.n, n), strict=True))
+        self.n, self.used = n, used
+
+    def _add(self, hashes: list[int], texts: list[str], whole: bool) -> None:
+        if whole:
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+            self._put(hashes, np.array([len(x) for x in found], np.int64), np.array([x for ids in found for x in ids], np.uint32))
+            return
+        for at in range(0, len(texts), 2000):  # many parts in one call; each part is one word of it
+            e = self.tokenizer.encode(" ".join(texts[at : at + 2000]), add_special_tokens=False)
+            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(texts[at : at + 2000]))
+            self._put(hashes[at : at + 2000], sizes, np.array(e.ids, np.uint32))
 
     def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each row's bounds in them."""
         if self.n > CACHED:
             self.clear()
-        starts, ends, rows = words(data, off)
-        h, at, back = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        new = [(k, i) for k, i in zip(h.tolist(), at.tolist(), strict=True) if k not in self.place]
-        self._add([k for k, _ in new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for _, i in new])
+        text, starts, ends, rows, whole = parts(data, off)
+        h, at, back = np.unique(hash_spans(text, starts, ends) ^ whole.astype(np.uint64), return_index=True, return_inverse=True)
+        raw = text.tobytes()
+        for kind in (False, True):
+            new = [(k, i) for k, i in zip(h[whole[at] == kind].tolist(), at[whole[at] == kind].tolist(), strict=True) if k not in self.place]
+            self._add([k for k, _ in new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for _, i in new], kind)
         place = np.array([self.place[k] for k in h.tolist()], np.int64)[back] if len(h) else np.zeros(0, np.int64)
         sizes = self.size[place]
         before = np.cumsum(sizes) - sizes
@@ -100,7 +147,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             ids_col = b.column("id").to_pylist()
             out: dict[str, list] = defaultdict(list)
-            for lo, hi, data, off in blocks(b.column("text"), 1 << 20):
+            for lo, hi, data, off in blocks(b.column("text")):
                 ids, bound = word_ids(path).rows(data, off)
                 ids = ids.astype("<u4")
                 for i in range(hi - lo):
