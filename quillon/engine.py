@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import ast as A
@@ -70,7 +71,6 @@ def convert(text: str, source: str) -> dict[str, Any]:
 
 def convert_all(statements: DataFrame, sql_col: str = "sql", dialect_col: str = "dialect") -> DataFrame:
     """A table of statements, converted on the executors."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("struct<sql:string,warnings:array<string>,error:string>")

@@ -221,12 +221,13 @@ class Emitter:
         col = self.fresh("v")
         low = op in (">", ">=")
         pick = "max" if low == (x.kind == "ALL") else "min"
-        inner = f"FROM ({q}) AS {n}({col})"
         if op in ("=", "<>"):
             raise SqlError(f"{op} {x.kind} has no lowering")
+        # One uncorrelated subquery, read three times; Spark runs equal subqueries once.
+        s = f"(SELECT named_struct('n', count(*), 'c', count({col}), 'm', {pick}({col})) FROM ({q}) AS {n}({col}))"
         if x.kind == "ALL":  # true over no rows; unknown if any row is NULL
-            return f"(SELECT CASE WHEN count(*) = 0 THEN TRUE WHEN NOT ({v} {op} {pick}({col})) THEN FALSE WHEN count(*) > count({col}) THEN NULL ELSE {v} {op} {pick}({col}) END {inner})", 9
-        return f"(SELECT CASE WHEN count(*) = 0 THEN FALSE WHEN {v} {op} {pick}({col}) THEN TRUE WHEN count(*) > count({col}) THEN NULL ELSE {v} {op} {pick}({col}) END {inner})", 9
+            return f"CASE WHEN {s}.n = 0 THEN TRUE WHEN NOT ({v} {op} {s}.m) THEN FALSE WHEN {s}.n > {s}.c THEN NULL ELSE {v} {op} {s}.m END", 9
+        return f"CASE WHEN {s}.n = 0 THEN FALSE WHEN {v} {op} {s}.m THEN TRUE WHEN {s}.n > {s}.c THEN NULL ELSE {v} {op} {s}.m END", 9
 
     def key(self, k: A.Key, explicit: bool = True) -> str:
         text = self.e(k.value) + (" DESC" if k.desc else "")
@@ -271,7 +272,7 @@ class Emitter:
         else:
             head = out
         if c.nulls:
-            head += f" {c.nulls}"
+            head += f" {c.nulls} NULLS"
         if c.filter is not None:
             head += f" FILTER (WHERE {self.e(c.filter)})"
         if c.over is not None:
