@@ -261,7 +261,7 @@ def select_column(html, selector: str) -> Column:
 
     @F.pandas_udf(HITS)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"text": e.text(), "own_text": e.own_text(), "html": e.outer_html(), "attrs": list(e.attrs.items())} for e in select(parse(t), selector)] if t is not None else None)
+        return s.map(lambda t: [{"text": e.text(), "own_text": e.own_text(), "html": e.outer_html(), "attrs": e.attrs} for e in select(parse(t), selector)] if t is not None else None)
 
     return run(html if isinstance(html, Column) else F.col(html))
 

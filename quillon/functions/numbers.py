@@ -64,7 +64,8 @@ def multiply(a, b, places: int) -> Column:
 
 def divide(a, b, places: int) -> Column:
     """Null for a divisor of 0."""
-    return cut(F.try_divide(_d(a).cast("decimal(24,6)"), _d(b).cast("decimal(14,6)")).cast(WIDE), places)
+    by = _d(b).cast("decimal(14,6)")
+    return F.when(by != 0, cut(F.try_divide(_d(a).cast("decimal(24,6)"), by).cast(WIDE), places))
 
 
 def compare(a, b) -> Column:

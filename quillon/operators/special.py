@@ -113,7 +113,7 @@ def json_patch(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", F.get_json_object("p", "$.m").alias("moved"), F.get_json_object("p", "$.x[0]").alias("added"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS links, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title FROM pages")
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS links, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')) AS title FROM pages")
 def html_selectors(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     return p.select("page_id", F.size(H.text_column("html", "nav li > a[href^='/']")).alias("links"), F.get(H.text_column("html", "article h1:first-child"), F.lit(0)).alias("title"))

@@ -61,6 +61,8 @@ def oracle_pattern(text: str) -> str:
 
 
 def _pattern(em: Any, x: Any) -> str:
+    if em.d.name in ("spark", "hive"):
+        return em.e(x)
     if not isinstance(x, A.Lit):
         em.warn("a date pattern that isn't a literal is passed on")
         return em.e(x)
