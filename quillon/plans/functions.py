@@ -268,7 +268,7 @@ def _funnel(em, c):
 
 def rewrite_call(em: Any, c: A.Call) -> Any:
     u = c.name.upper()
-    if em.d.name == "spark":
+    if em.d.name == "spark" and u not in ("TRIM", "TIMESTAMPDIFF", "TIMESTAMPADD", "DATEADD"):
         return c
     if u in RULES:
         out = RULES[u](em, c)
