@@ -7,6 +7,7 @@ from .html_extract import op1_html_extraction
 from .media import op6_media_sniffing
 from .mixing import op5_mixing
 from .ngram_join import op10_ngram_join
+from .oracles import ORACLES
 from .packing import op4_best_fit_packing
 from .quality_model import op7_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
