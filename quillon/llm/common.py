@@ -49,6 +49,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, list]:
+    """The table with columns c0, c1, … that no helper column clashes with, and what selects the old names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [F.col(n).alias(old) for n, old in zip(names, df.columns, strict=True)]
+
+
 def held_out(col: str = "doc_id"):
     """crc32 of the id as text, mod 5, is 0. A null id: false."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

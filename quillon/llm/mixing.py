@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, hash_spans, read, words
+from .common import Scratch, blocks, hash_spans, plain_names, read, words
 from .models import SoftmaxRegression
 from .terms import fold
 
@@ -175,21 +175,23 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
     handle = docs.sparkSession.sparkContext.broadcast((model.w.astype(np.float32), model.b))
 
     # The rate is a function of the text: it is computed beside the row, so no join is needed.
+    plain, back = plain_names(docs)
+    place = dict(zip(docs.columns, plain.columns, strict=True))
     def run(batches):
         w, bias = handle.value
         model = SoftmaxRegression(*w.shape)
         model.w, model.b = w, bias
         for b in batches:
             rates = [np.zeros(0)]
-            for lo, hi, data, off in blocks(b.column(text_col), 1 << 18):
+            for lo, hi, data, off in blocks(b.column(place[text_col]), 1 << 18):
                 for a in range(0, hi - lo, 2048):
                     z = min(a + 2048, hi - lo)
                     rates.append(rates_of(model.predict(vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]), residuals, step, RIDGE))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(rates))], [*b.schema.names, "__rate"])
 
-    rated = docs.mapInArrow(run, docs.withColumn("__rate", F.lit(0.0)).schema)
-    taken = rated.withColumn("__copies", F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col(id_col))))
-    return taken.select(*docs.columns, F.explode("__copies").alias("__copy")).drop("__copy")
+    rated = plain.mapInArrow(run, plain.withColumn("__rate", F.lit(0.0)).schema)
+    taken = rated.withColumn("__copies", F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col(place[id_col]))))
+    return taken.select(*plain.columns, F.explode("__copies").alias("__copy")).select(*back)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

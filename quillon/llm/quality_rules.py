@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import plain_names, read
 
 WINDOW = 8  # words in a window of the repetition count
 MIN_WORDS = 20
@@ -99,8 +99,15 @@ def measure(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows that pass all rules, with the input's columns."""
-    return measure(df, text_col, rules).where(F.col(_P + "kept")).select(*df.columns)
+    """The rows that pass all rules, with the input's columns.
+
+    The verdict meets a test that isn't deterministic (and always true), else the optimizer would push the filter below the
+    projections and write every measure out once for each of its uses.
+    """
+    plain, back = plain_names(df)
+    judged = measure(plain, plain.columns[df.columns.index(text_col)], rules)
+    judged = judged.withColumn(_P + "keep", F.col(_P + "kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where(F.col(_P + "keep")).select(*back)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
