@@ -61,7 +61,7 @@ def jdbc_options(url: str) -> dict[str, str]:
     """dialect, host, port, database and parameters of a JDBC URL."""
     import re
 
-    m = re.match(r"jdbc:(?:([a-z0-9]+):)(?:thin:@/{0,2}|//)?([^:/;?]+)?(?::(\d+))?(?:[/:;]([^?;]*))?(?:[?;](.*))?$", url, re.I)
+    m = re.match(r"jdbc:(?:([a-z0-9]+):)(?:thin:@/{0,2}|//)?([^:/;?]+)?(?::(\d+))?(?:[/:]([^?;]*))?(?:[?;](.*))?$", url, re.I)
     if not m:
         raise ValueError(f"not a JDBC URL: {url}")
     kinds = {"postgresql": "postgres", "dm": "dameng", "hive2": "hive", "trino": "presto", "mariadb": "mysql", "ch": "clickhouse"}

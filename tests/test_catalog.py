@@ -67,7 +67,7 @@ def test_urls_and_schemas():
     assert (u["dialect"], u["host"], u["port"], u["database"], u["useSSL"]) == ("mysql", "db", "3306", "shop", "false")
     assert files.jdbc_options("jdbc:sqlserver://h:1433;databaseName=x")["database"] == "x"
     assert files.jdbc_options("jdbc:oracle:thin:@h:1521:orcl")["database"] == "orcl"
-    have, want = T.StructType().add("a", "int"), T.StructType().add("a", "long").add("b", "string")
+    have, want = T.StructType().add("a", T.IntegerType()), T.StructType().add("a", T.LongType()).add("b", T.StringType())
     assert files.schema_changes(have, want, "t") == ["ALTER TABLE t ADD COLUMNS (b string)", "-- a: int is wanted as bigint"]
 
 
