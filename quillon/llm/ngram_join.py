@@ -304,15 +304,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     handle = docs.sparkSession.sparkContext.broadcast(token_order(texts))
     found = scratch.table(texts.mapInArrow(_emitter(handle), _DOC), "docs")
-    listed = found.where(F.col("entries").isNotNull()).dropDuplicates(["node"])
+    # Written, so that joins on a hot pivot have nothing but exchanges below them, which can be split.
+    listed = scratch.table(found.where(F.col("entries").isNotNull()).select("node", "n", "entries", "shingles").dropDuplicates(["node"]), "listed")
     posted = scratch.table(listed.select("node", "n", F.inline("entries")).dropDuplicates(["key", "node"]), "posted")
-    shingles = listed.select("node", "shingles")
-    label = links(posted, shingles, scratch)
+    label = links(posted, listed.select("node", "shingles"), scratch)
+    scratch.drop("listed", "posted")
 
     nodes = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
     nodes = nodes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     nodes = scratch.table(nodes, "nodes")
-    least = nodes.groupBy("label").agg(F.min("id").alias("component_id"))
+    least = scratch.table(nodes.groupBy("label").agg(F.min("id").alias("component_id")), "least")
     place = scratch.table(nodes.join(least, "label").select("node", "component_id"), "place")
     return found.select("id", "n", "node").join(place, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
