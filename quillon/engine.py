@@ -21,15 +21,21 @@ class PolicyError(ValueError):
 
 class Engine:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.last_sql = ""
         self.warnings: list[str] = []
-        if sf_dir:
-            for t in TABLES:
-                self.add(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        self.known: set[str] = set()
 
     def add(self, name: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(name)
+        self.known.add(name.lower())
+
+    def _open(self, tree: Any) -> None:
+        """Views of the folder's tables that a statement names; files of others aren't touched."""
+        for x in A.walk(tree) if self.sf_dir else ():
+            name = x.parts[-1].lower() if isinstance(x, A.Table) else ""
+            if name in TABLES and name not in self.known:
+                self.add(name, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def plan(self, text: str, dialect: str = "mysql", *, args: list[Any] | dict[str, Any] | None = None, tenant: tuple[str, Any] | None = None, tenant_tables: list[str] | None = None, masks: dict[str, str] | None = None, page: tuple[int, int] | None = None, wall: G.WallConfig | None = None, tables: dict[str, str] | None = None) -> str:
         """The Spark SQL that would run."""
@@ -46,6 +52,7 @@ class Engine:
             tree = G.inject(tree, *tenant, only=tenant_tables)
         if page:
             tree = G.page(tree, *page)
+        self._open(tree)
         self.last_sql, self.warnings = to_spark(tree, dialect)
         return self.last_sql
 
