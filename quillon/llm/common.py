@@ -87,6 +87,13 @@ def blocks(arr: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, n
         lo = min(hi, n)
 
 
+def slices(batches, rows: int = 500):
+    """Smaller batches, so that what is made of one is small too."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def runs(kinds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of one non-zero kind inside a row: starts, ends, rows."""
     n = len(kinds)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read
+from .common import blocks, read, slices
 
 FRAME = 576  # samples in a frame of the stored form
 FILL = 255
@@ -229,7 +229,7 @@ def sniff(df: DataFrame, media_col: str, declared_col: str | None = None, out_co
     kind = pa.struct([("type", pa.string()), ("confirmed", pa.bool_()), ("corrected", pa.bool_()), ("carved", pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("data", pa.binary())])))])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             declared = b.column(declared_col).to_pylist() if declared_col else [None] * b.num_rows
             out = []
             for data, said in zip(b.column(media_col), declared, strict=True):
@@ -271,7 +271,7 @@ def to_media(df: DataFrame, text_col: str = "text", media_col: str = "media", ke
     rows = df.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for lo, hi, data, off in blocks(b.column("__text")):
                 raw = data.tobytes()
@@ -288,7 +288,7 @@ def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sniffed = sniff(media.withColumn("declared", F.lit("application/octet-stream")), "media", "declared", carve_data=False)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for data, s in zip(b.column("media"), b.column("sniffed").to_pylist(), strict=True):
                 data = data.as_py()
