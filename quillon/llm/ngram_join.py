@@ -182,13 +182,14 @@ def token_order(docs: DataFrame) -> Order:
     merged = counted.groupBy("span").applyInArrow(_merger(range_bits), "span int, seen binary, level binary, many long, entries long")
     seen, level = np.zeros(1 << (SEEN_BITS - 3), np.uint8), np.zeros(1 << LEVEL_BITS, np.uint8)
     sizes, many, entries = np.zeros(18, np.int64), 0, 0
-    for r in merged.toLocalIterator():  # fixed bytes in all, one partition at a time
-        if r.span < 0:
-            sizes = np.frombuffer(r.seen, "<i8")
+    table = merged.toArrow()  # in all, the fixed bytes of both tables and one row for each hash range
+    for span, s, l, m, e in zip(*(table.column(c).to_pylist() for c in ("span", "seen", "level", "many", "entries")), strict=True):
+        if span < 0:
+            sizes = np.frombuffer(s, "<i8")
             continue
-        seen[r.span * len(r.seen) : (r.span + 1) * len(r.seen)] = np.frombuffer(r.seen, np.uint8)
-        level[r.span * len(r.level) : (r.span + 1) * len(r.level)] = np.frombuffer(r.level, np.uint8)
-        many, entries = many + r.many, entries + r.entries
+        seen[span * len(s) : (span + 1) * len(s)] = np.frombuffer(s, np.uint8)
+        level[span * len(l) : (span + 1) * len(l)] = np.frombuffer(l, np.uint8)
+        many, entries = many + m, entries + e
     return Order(seen, level, boundary(sizes, entries / max(many, 1)))
 
 
