@@ -11,6 +11,12 @@ p_i . r + ridge * (w_i - 1), where r is the residual by domain, and is cut at 0.
 the documents, so one step is one scan that adds up K numbers; a rate is a function of p_i and of the residuals so far, and
 is recomputed from them. No rates are stored or collected during the fit.
 
+Where a domain's residual is above TOLERANCE of its target after STEPS steps (rare domains: their curvature is their share), the
+objective is solved exactly instead, with each domain's term divided by its natural share, so that the ridge pulls no domain
+away by more than about the ridge itself. Its minimum is w_i = max(0, 1 + p_i . pull), and the K numbers pull are the minimum of a
+convex function, which Newton's method finds in a few scans that add up K * K numbers for each of a few step lengths. A domain that no rates reach
+(no documents look like it) would ruin the others: it keeps pull 0, the others are met, and a warning names it.
+
 Copies: a document is taken floor(w) times, and once more if the hash of its id falls below the fraction; expected totals are
 then those of the rates. Null and empty texts have no words: they keep the rate that their posterior gives and don't weigh in. A table
 without labelled rows keeps rate 1. Repeated rows have equal rates. Ids may be null.
@@ -18,6 +24,9 @@ without labelled rows keeps rate 1. Repeated rows have equal rates. Ids may be n
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +40,9 @@ BITS = 8
 SAMPLE_PER_DOMAIN = 500  # labelled documents of each domain that the classifier is fitted on, at most
 RIDGE = 0.005
 STEPS = 24
+TOLERANCE = 0.02  # of a domain's target: the largest residual that the steps may leave
+NEWTON_STEPS = 30  # at most; a handful are needed
+HALVINGS = 8  # step lengths 1, 1/2, ... that a scan tries at once
 #: Target shares of words by domain.
 TARGETS = {"en": 0.50, "de": 0.20, "fr": 0.17, "es": 0.13}
 
@@ -103,40 +115,90 @@ def posteriors(docs: DataFrame, model: SoftmaxRegression, id_col: str = "doc_id"
     return out.withColumnRenamed("id", id_col)
 
 
-def rates_of(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float) -> np.ndarray:
-    """The rates that the steps so far give to posteriors p (a row each)."""
+def rates_of(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float, pull: np.ndarray | None = None) -> np.ndarray:
+    """The rates that the steps so far give to posteriors p (a row each), or those of the exact solution if there is one."""
+    if pull is not None:
+        return np.maximum(1 + p @ pull, 0)
     w = np.ones(len(p))
     for r in residuals:
         w = np.maximum(w - step * (p @ r + ridge * (w - 1)), 0)
     return w
 
 
-def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """(residuals of all steps, step size). soft: (n_words, p), read once a step; each task returns K numbers."""
+def add_up(soft: DataFrame, k: int, size: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """part(p, words), `size` numbers, added up over all rows of soft in one scan."""
+
+    def run(batches):
+        out = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                out += part(np.asarray(b.column("p").flatten()).reshape(-1, k), np.asarray(b.column("n_words")).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], ["k", "v"])
+
+    sums = np.zeros(size)
+    for r in soft.select("n_words", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        sums[r["k"]] = r["v"]
+    return sums
+
+
+def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """(residuals of all steps, step size, pull or None if the steps do). soft: (n_words, p), read once a step; each task returns a fixed count of numbers."""
     k = len(targets)
     want = np.array(targets) / np.sum(targets)
+    scale = np.where(want > 0, want, 1.0)
     step = 1.2 / (1.0 + ridge)  # below 2 over the largest curvature, which is at most 1 + ridge
     residuals = np.zeros((0, k))
-    total = None
-    for _ in range(steps):
+    for i in range(steps + 1):
         done = residuals
-
-        def run(batches, done=done):
-            out = np.zeros(k + 1)
-            for b in batches:
-                if b.num_rows:
-                    t = np.asarray(b.column("n_words")).astype(float)
-                    p = np.asarray(b.column("p").flatten()).reshape(-1, k)
-                    out[:k] += (rates_of(p, done, step, ridge) * t) @ p
-                    out[k] += t.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1)), pa.array(out)], ["k", "v"])
-
-        sums = np.zeros(k + 1)
-        for r in soft.select("n_words", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            sums[r["k"]] = r["v"]
-        total = max(float(sums[k]), 1.0)
-        residuals = np.concatenate([residuals, [sums[:k] / total - want]])
-    return residuals, step
+        sums = add_up(soft, k, k + 1, lambda p, t, done=done: np.append((rates_of(p, done, step, ridge) * t) @ p, t.sum()))
+        left = sums[:k] / max(float(sums[k]), 1.0) - want
+        if i < steps:
+            residuals = np.concatenate([residuals, [left]])
+    if not sums[k] or np.abs(left / scale).max() <= TOLERANCE:
+        return residuals, step, None
+    free = np.ones(k, bool)
+    while free.any():
+        pull, left = solve(soft, want, free, ridge)
+        if np.abs(left / scale)[free].max() <= TOLERANCE:
+            break
+        free[np.where(free, pull, -np.inf).argmax()] = False  # pulled most, and in vain
+    else:
+        pull = np.zeros(k)
+    if not free.all():
+        warnings.warn(f"no rates reach the targets of domains {np.flatnonzero(~free).tolist()} (in the order of names); they are left alone", stacklevel=2)
+    return residuals, step, pull
+
+
+def solve(soft: DataFrame, want: np.ndarray, free: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pull, residual by domain) of the exact solution in which only the free domains pull."""
+    k = len(want)
+    size = 1 + k + k * k  # of each length: sum of w^2, shares, curvature
+    pull, move, pen = np.zeros(k), np.zeros(k), None
+    for _ in range(NEWTON_STEPS):
+        lengths = 0.5 ** np.arange(HALVINGS if move.any() else 1)
+        tried = pull + lengths[:, None] * move
+
+        def part(p, t, tried=tried):
+            out = []
+            for x in tried:
+                w = rates_of(p, None, 0, 0, x)
+                q = p[w > 0]
+                out += [[(t * w * w).sum()], (t * w) @ p, ((q * t[w > 0, None]).T @ q).ravel()]
+            return np.concatenate([*out, [t.sum()]])
+
+        sums = add_up(soft, k, size * len(lengths) + 1, part)
+        got = sums[:-1].reshape(-1, size) / sums[-1]
+        if pen is None:
+            pen = ridge * np.maximum(got[0, 1 : 1 + k], 1e-12)  # the ridge by domain: all rates are 1 here
+        best = int((got[:, 0] / 2 - tried @ want + (tried**2 @ pen) / 2).argmin())
+        pull, left = tried[best], got[best, 1 : 1 + k] - want
+        slope = left + pen * pull
+        if np.abs(slope / np.where(want > 0, want, 1.0))[free].max() <= TOLERANCE / 100:
+            break
+        curve = got[best, 1 + k :].reshape(k, k) + np.diag(pen)
+        move = np.zeros(k)
+        move[free] = -np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+    return pull, left
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
@@ -147,12 +209,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
         return docs.select(id_col, F.lit(0).cast("long").alias("n_words"), F.array(*[F.lit(1.0 / len(domains))] * len(domains)).alias("p"), F.lit(1.0).alias("rate"))
     scratch = Scratch(docs.sparkSession, "mix")
     soft = scratch.table(posteriors(docs, model, id_col, text_col), "soft")
-    residuals, step = fit_rates(soft, [targets[d] for d in domains])
+    residuals, step, pull = fit_rates(soft, [targets[d] for d in domains])
 
     def run(batches):
         for b in batches:
             p = np.asarray(b.column("p").flatten()).reshape(-1, len(domains))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(p, residuals, step, RIDGE))], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(p, residuals, step, RIDGE, pull))], [*b.schema.names, "rate"])
 
     return soft.mapInArrow(run, soft.withColumn("rate", F.lit(0.0)).schema)
 
@@ -171,7 +233,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
         return docs
     scratch = Scratch(docs.sparkSession, "resample")
     soft = scratch.table(posteriors(docs, model, id_col, text_col).select("n_words", "p"), "soft")
-    residuals, step = fit_rates(soft, [targets[d] for d in domains])
+    residuals, step, pull = fit_rates(soft, [targets[d] for d in domains])
     handle = docs.sparkSession.sparkContext.broadcast((model.w.astype(np.float32), model.b))
 
     # The rate is a function of the text: it is computed beside the row, so no join is needed.
@@ -186,7 +248,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
             for lo, hi, data, off in blocks(b.column(place[text_col]), 1 << 18):
                 for a in range(0, hi - lo, 2048):
                     z = min(a + 2048, hi - lo)
-                    rates.append(rates_of(model.predict(vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]), residuals, step, RIDGE))
+                    rates.append(rates_of(model.predict(vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]), residuals, step, RIDGE, pull))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(rates))], [*b.schema.names, "__rate"])
 
     rated = plain.mapInArrow(run, plain.withColumn("__rate", F.lit(0.0)).schema)

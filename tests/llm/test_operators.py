@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -294,6 +295,23 @@ def test_mixing_rates_meet_targets(spark):
     assert taken.columns == ["doc_id", "text"] and taken.count() > 300
 
 
+def test_mixing_rare_and_absent_domains(spark):
+    r = np.random.default_rng(8)
+    pure = np.array([[0.96, 0.02, 0.01, 0.01], [0.02, 0.96, 0.01, 0.01], [0.01, 0.01, 0.97, 0.01], [0.01, 0.01, 0.01, 0.97]])
+    want, cols = np.array([0.2, 0.5, 0.13, 0.17]), "n_words long, p array<double>"
+    natural = [np.repeat(np.arange(4), n) for n in ([50, 910, 20, 20], [170, 810, 0, 20])]
+    for kinds in natural:
+        words = r.integers(20, 60, len(kinds))
+        soft = spark.createDataFrame([(int(n), pure[d].tolist()) for n, d in zip(words, kinds)], cols).repartition(3).cache()
+        with (pytest.warns(UserWarning, match=r"\[2\]") if 2 not in kinds else nullcontext()):
+            residuals, step, *pull = mixing.fit_rates(soft, want.tolist())
+        rates = mixing.rates_of(pure[kinds], residuals, step, mixing.RIDGE, *pull)
+        share = (rates * words) @ pure[kinds] / words.sum()
+        met = np.isin(np.arange(4), kinds)  # a domain without documents can't be met, and doesn't spoil the others
+        assert np.abs(share / want - 1)[met].max() <= 0.02
+        assert rates.min() >= 0 and rates.max() < 20
+
+
 # --- HTML
 
 def test_html_extraction(spark):
