@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +21,46 @@ _POW_BASE = 0x9E3779B97F4A7C55
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (where unset, as in tests) a new one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new temporary folder on a local master (tests), and an error on a cluster, whose machines share no such folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Tables that one run writes in the shared folder, so that lineage is cut and a lost executor costs only its own tasks."""
+    """Tables that one run writes in the shared folder, so that lineage is cut and a lost executor costs only its own tasks.
+
+    drop() removes what no later step reads. What the returned DataFrame reads stays until the session's Python process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._end)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
 
+    def _end(self) -> None:
+        try:
+            if self.spark.sparkContext._jsc is not None:  # not stopped
+                self.drop("")
+        except (Py4JError, OSError):  # the JVM went first
+            pass
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
+        context = self.spark.sparkContext
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}".rstrip("/"))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +73,23 @@ def plain_names(df: DataFrame) -> tuple[DataFrame, list]:
     return df.toDF(*names), [F.col(n).alias(old) for n, old in zip(names, df.columns, strict=True)]
 
 
+def add_column(df: DataFrame, out_col: str, kind: str, compute: Callable[..., pa.Array], *needed: str, rows: int = 10000) -> DataFrame:
+    """The input's columns and out_col = compute(the needed columns), in one narrow pass.
+
+    The whole row goes along, so no join is needed. A column of the input that has the name of out_col (case aside) is replaced.
+    """
+    plain, back = plain_names(df)
+    at = [df.columns.index(c) for c in needed]
+    kept = [c for c, old in zip(back, df.columns, strict=True) if old.lower() != out_col.lower()]
+
+    def run(batches):
+        for b in slices(batches, rows):
+            yield pa.RecordBatch.from_arrays([*b.columns, compute(*(b.column(i) for i in at))], [*b.schema.names, "added"])
+
+    out = plain.mapInArrow(run, plain.withColumn("added", F.lit(None).cast(kind)).schema)
+    return out.select(*kept, F.col("added").alias(out_col))
+
+
 def held_out(col: str = "doc_id"):
     """crc32 of the id as text, mod 5, is 0. A null id: false."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -87,11 +122,12 @@ def blocks(arr: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, n
         lo = min(hi, n)
 
 
-def slices(batches, rows: int = 500):
-    """Smaller batches, so that what is made of one is small too."""
+def slices(batches, rows: int = 500, most: int = 1 << 26):
+    """Smaller batches: at most `rows` rows, and about `most` bytes if the rows are of like size."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, b.num_rows * most // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def runs(kinds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
