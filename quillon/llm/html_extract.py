@@ -19,13 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import add_column, read
 
-TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>", re.S
-)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-g)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# A tag whose attributes are closed before the next "<": most are. No alternative can start where another has failed, so a failure costs the way to that "<".
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"=\s*+[\"']|>")  # what matters inside a tag: a quoted value, the end
+ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++))""", re.I)
+GOLD = re.compile(r'data-g="(\d)"')
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML: elements without content, with raw content, without visible text, inline; and what a start tag closes.
@@ -36,6 +39,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 SCOPE = set("ul ol dl table body html div section article main aside nav header footer form blockquote td th".split())
 
+CELLS = {"td", "th"}
+TABLE_PARTS = {"td", "th", "tr", "tbody"}
+
 # Attribute words by what they usually mark.
 GOOD = set("article post content entry story main body text hentry prose markdown paragraph blog news page single detail".split())
 BAD = set(
@@ -47,54 +53,135 @@ TALK = set("comment comments commentlist discussion reply replies respond respon
 KINDS = {k: i + 1 for i, group in enumerate(("p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "div", "section", "article", "main", "nav menu", "header", "footer", "aside", "form fieldset input button label textarea", "table tbody thead tr td th", "figure figcaption")) for k in group.split()}
 
 
+class Tags:
+    """Where a tag ends, for a page: each stretch of the page is looked at a fixed number of times, whatever it holds."""
+
+    def __init__(self, source: str):
+        self.source, self.dead, self.cached = source, set(), {}
+
+    def next(self, what: str, at: int) -> int:
+        """The first place of `what` from `at`, or -1. A search that went over `at` before isn't made again."""
+        lo, found = self.cached.get(what, (0, -2))
+        if found == -2 or at < lo or 0 <= found < at:
+            found = self.source.find(what, at)
+            self.cached[what] = (at, found)
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the ">" that closes a tag, `at` standing behind its name. Quoted values may hold ">"; if a quote stays open, the next ">"
+        closes the tag; -1 if there is none. Quotes that an earlier open scan went over are known to lead nowhere."""
+        i, went = at, []
+        last = self.next(">", at)
+        while last >= 0:
+            # No stop can lie behind the next ">", so that a search is never longer than the way to it.
+            m = STOP.search(self.source, i, max(self.next(">", i), i) + 1)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            opened = m.end() - 1
+            if opened in self.dead:
+                break
+            went.append(opened)
+            closed = self.next(m[0][-1], opened + 1)
+            if closed < 0 or self.next(">", closed) < 0:
+                break
+            i = closed + 1
+        self.dead.update(went)
+        return last + 1 if last >= 0 else -1
+
+
 class Page:
-    """Parallel lists over nodes in page order (parents before children), and text pieces: (node, text) or None for a boundary."""
+    """Parallel lists over nodes in page order (parents before children), and text pieces: (node, text) or None for a boundary.
+
+    Open elements are kept with the places of each name, of blocks and of scopes, so that no tag searches the whole stack.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words, self.gold, self.link, self.pieces = [-1], ["html"], [()], [None], [0], []
         self.n_tags, self.n_inputs, self.inline = [0], [0], [False]
         self._parse(source)
 
+    def _marks(self, attrs: str) -> int | None:
+        """What training pages say of a node; other pages say nothing."""
+        return None
+
     def _node(self, parent: int, tag: str, attrs: str, inline: bool) -> int:
-        words, gold = (), None
+        words = ()
         for m in ATTR.finditer(attrs) if attrs else ():
-            value = m[2] or m[3] or m[4] or ""
-            if m[1] == "data-g":
-                gold = int(value)
-            else:
-                words += tuple(w.lower() for w in TOKEN.findall(value))
-        for list_, x in ((self.parent, parent), (self.tag, tag), (self.words, words), (self.gold, gold), (self.link, 0), (self.n_tags, 0), (self.n_inputs, 0), (self.inline, inline)):
+            words += tuple(w.lower() for w in TOKEN.findall(m[2] or m[3] or m[4] or ""))
+        for list_, x in ((self.parent, parent), (self.tag, tag), (self.words, words), (self.gold, self._marks(attrs)), (self.link, 0), (self.n_tags, 0), (self.n_inputs, 0), (self.inline, inline)):
             list_.append(x)
         return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that gets their text
+        where: dict[str, list[int]] = {"html": [0]}  # name -> its places in the stack
+        blocks, scopes, frames = [0], [0], [0]  # places of blocks, of what ends a search, and of that without table cells
         links = hidden = 0
-        at, n = 0, len(source)
+
+        def push(name: str, node: int) -> None:
+            at = len(stack)
+            stack.append((name, node))
+            where.setdefault(name, []).append(at)
+            if name not in INLINE:
+                blocks.append(at)
+                if name in SCOPE:
+                    scopes.append(at)
+                    if name not in CELLS:
+                        frames.append(at)
+
+        def cut(to: int) -> None:
+            nonlocal links, hidden
+            while len(stack) > to:
+                name, _ = stack.pop()
+                where[name].pop()
+                for places in (blocks, scopes, frames):
+                    if places[-1] == len(stack):
+                        places.pop()
+                links -= name == "a"
+                hidden -= name in HIDDEN
+
+        tags = Tags(source)
+        at, n, seen = 0, len(source), 0  # text from `seen` on isn't taken yet
         while at < n:
-            m = TAG.search(source, at)
-            end = m.start() if m else n
-            if end > at and not hidden:
-                text = source[at:end]
+            start = source.find("<", at)
+            if start < 0:
+                start = at = n
+                closing = name = attrs = ""
+            elif m := TAG.match(source, start):
+                closing, name, attrs = m[1], m[2].lower(), m[3]
+                at = m.end()
+            elif m := NAME.match(source, start):
+                at = tags.end(m.end())
+                if at < 0:  # no tag: text
+                    at = start + 1
+                    continue
+                closing, name, attrs = m[1], m[2].lower(), source[m.end() : at - 1]
+            elif source.startswith("<!--", start):
+                closing = name = attrs = ""
+                at = start + 4 if source.startswith(">", start + 4) else start + 5 if source.startswith("->", start + 4) else tags.next("-->", start + 4) + 2
+                at = at + 1 if at > start + 1 else n
+            elif source[start + 1 : start + 2] in ("!", "?", "/") and (at := tags.next(">", start)) >= 0:
+                closing = name = attrs = ""
+                at += 1
+            else:
+                at = start + 1
+                continue
+            if start > seen and not hidden:
+                text = source[seen:start]
                 node = stack[-1][1]
                 self.pieces.append((node, text))
                 if links:
                     self.link[node] += len(text)
-            if not m:
-                break
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            seen = at
             if not name:
                 continue
-            closing, attrs = m[1] or m[4], m[3] or m[6] or ""
             if closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                places = where.get(name)
                 # An inline end tag doesn't reach out of a block.
-                if depth and not (name in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :])):
-                    for t, _ in stack[depth:]:
-                        links -= t == "a"
-                        hidden -= t in HIDDEN
-                    del stack[depth:]
+                if places and places[-1] > 0 and not (name in INLINE and blocks[-1] > places[-1]):
+                    cut(places[-1])
                     if name not in INLINE:
                         self.pieces.append(None)
                 elif name == "p" or name == "br":
@@ -102,16 +189,11 @@ class Page:
                 continue
             inline = name in INLINE
             if not inline and name not in VOID:
-                closes = CLOSES.get(name, set()) | ({"p"} if name not in RAW else set())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in closes:
-                        for t, _ in stack[i:]:
-                            links -= t == "a"
-                            hidden -= t in HIDDEN
-                        del stack[i:]
-                        if name not in ("tbody", "tr"):
-                            break
-                    elif stack[i][0] in SCOPE and not (stack[i][0] in ("td", "th") and name in ("td", "th", "tr", "tbody")):
+                closes = CLOSES.get(name, ()) if name in RAW else (*CLOSES.get(name, ()), "p")
+                limits = frames if name in TABLE_PARTS else scopes
+                while (to := max((where[c][-1] for c in closes if where.get(c)), default=0)) > 0 and (to >= limits[-1] if stack[to][0] in SCOPE else to > limits[-1]):
+                    cut(to)
+                    if name not in ("tbody", "tr"):
                         break
             node = stack[-1][1]
             self.n_tags[node] += 1
@@ -124,23 +206,20 @@ class Page:
                 self.n_inputs[node] += 1
             if not inline:
                 self.pieces.append(None)
-            if not hidden and name not in ("html", "body") and name not in HIDDEN and (not inline or "class" in attrs or "id" in attrs or "data-g" in attrs):
+            if not hidden and name not in ("html", "body") and name not in HIDDEN and (not inline or "class" in attrs or "id" in attrs):
                 node = self._node(node, name, attrs, inline)
-            elif name in ("html", "body") and attrs:
-                pass
             if attrs.endswith("/") and (inline or name not in KINDS):
                 continue  # self-closed
-            stack.append((name, node))
-            links += name == "a"
-            hidden += name in HIDDEN
             if name in RAW:
-                close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
                 end = close.start() if close else n
-                if not hidden and end > at:
+                if not hidden and name not in HIDDEN and end > at:
                     self.pieces.append((node, source[at:end]))
-                at = close.end() if close else n
-                hidden -= name in HIDDEN
-                stack.pop()
+                at = seen = close.end() if close else n
+                continue
+            push(name, node)
+            links += name == "a"
+            hidden += name in HIDDEN
 
     def text(self, keep: list[bool] | np.ndarray) -> str:
         out: list[str] = []
@@ -153,6 +232,14 @@ class Page:
         return " ".join((html_lib.unescape(text) if "&" in text else text).split())
 
 
+class TrainingPage(Page):
+    """A generated page, whose data-g attributes say what is article."""
+
+    def _marks(self, attrs: str) -> int | None:
+        m = GOLD.search(attrs)
+        return int(m[1]) if m else None
+
+
 N_FEATURES = 27
 
 
@@ -403,7 +490,7 @@ def model(n_pages: int = 900, seed: int = 3) -> BoostedTrees:
     if not _MODEL:
         writer, xs, ys = PageWriter(seed), [], []
         for _ in range(n_pages):
-            page = Page(writer.page())
+            page = TrainingPage(writer.page())
             gold = np.array([-1 if g is None else g for g in page.gold])
             xs.append(features(page)[gold >= 0])
             ys.append(gold[gold >= 0])
@@ -423,19 +510,16 @@ def texts(trees: BoostedTrees, sources: list[str | None]) -> Iterator[str]:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_col: str = "text", n_col: str = "n_chars") -> DataFrame:
-    """keep, text_col and n_col (its code points): one row for each page, in one narrow pass."""
+    """keep, text_col and n_col (its code points): one row for each page, in one narrow pass. A kept column named as a result gives way to it."""
     handle = pages.sparkSession.sparkContext.broadcast(model())
 
-    def run(batches):
-        for b in batches:
-            out = list(texts(handle.value, b.column("__html").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], [*keep, text_col, n_col])
-
-    from pyspark.sql import functions as F
+    def run(html):
+        return pa.array(texts(handle.value, html.to_pylist()), pa.string())
 
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
-    schema = rows.select(*keep, F.lit("").alias(text_col), F.lit(0).cast("long").alias(n_col)).schema
-    return rows.mapInArrow(run, schema)
+    # The page itself isn't kept: add_column replaces it by the text.
+    kept = [c for c in keep if c.lower() not in (text_col.lower(), n_col.lower())]
+    rows = add_column(pages.select(*kept, F.col(html_col).alias(text_col)), text_col, "string", run, text_col, rows=256)
+    return rows.withColumn(n_col, F.length(text_col).cast("long"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
