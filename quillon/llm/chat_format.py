@@ -1,7 +1,9 @@
 r"""Chat formatting: schema fingerprints select a declarative mapping of each layout to canonical turns; one template marks them.
 
-Layouts. A fingerprint is the hash of the sorted nested field paths of a record (names only, so that a null or a number does
-not change it). Each known fingerprint has a mapping: how to get ``array<struct<role, text>>`` from the record. Records of
+Layouts. A record is a VARIANT: parsed from JSON text, or made of a typed row. Its fingerprint is the hash of the sorted nested field paths
+that it has, of those that some layout names: fields beside them (ids, scores, sources) don't change it, and a null field counts as absent. Known fingerprints,
+made on the driver of each layout's required paths and any of its optional ones, select a declarative mapping to ``array<struct<role, text>>``; an object or array where
+a layout has text is a path of another kind and so another fingerprint. An empty array of messages gives empty turns. Records of
 unknown layout get no turns (null), never a guess; they stay in the result.
 
 Template. A turn is ``<|start|>role<|message|>text<|end|>``. Inside roles and texts a backslash is doubled and a control
@@ -12,14 +14,16 @@ to the empty string. Rows of one turn number keep the order of (role, text); rep
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import read
+from .common import plain_names, read
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 # Control strings of common chat templates. The pair "<|" covers the own markers and those like them.
@@ -40,118 +44,144 @@ def unescape(text: Column) -> Column:
 # --- layouts -----------------------------------------------------------------------------------------------------
 
 
-def paths(schema: T.DataType, at: str = "") -> list[str]:
-    """The nested field paths of a schema; [] for the items of an array."""
-    if isinstance(schema, T.StructType):
-        return sorted(p for f in schema for p in paths(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(schema, T.ArrayType):
-        return paths(schema.elementType, at + "[]")
-    return [at]
+def _text(path: str) -> Callable[[Column], Column]:
+    return lambda v: F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
 
 
-def fingerprint_of(field_paths: Sequence[str]) -> str:
-    """The same hash as fingerprint() gives for a record with these paths."""
-    import hashlib
+def _pair(*said: tuple[str, str]) -> Callable[[Column], Column]:
+    """Turns of fixed roles from single fields; empty fields that are marked ? give no turn."""
 
-    return hashlib.sha256("\n".join(sorted(field_paths)).encode()).hexdigest()[:16]
+    def turns(v: Column) -> Column:
+        each = []
+        for role, path in said:
+            text = _text(path.rstrip("?"))(v)
+            turn = F.array(F.struct(F.lit(role).alias("role"), text.alias("text")))
+            each.append(F.when(text != "", turn).otherwise(F.array().cast(TURNS)) if path.endswith("?") else turn)
+        return F.concat(*each).cast(TURNS)
 
+    return turns
 
-def fingerprint(record: Column) -> Column:
-    """Of a JSON record: its field paths to a depth of two (all known layouts are within it), hashed. Not JSON: null."""
-    v = F.try_parse_json(record)
-    top = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
-    def below(e: Column) -> Column:
-        name, value = e["key"], e["value"]
-        inner = F.try_variant_get(value, "$", "map<string,variant>")
-        items = F.try_variant_get(value, "$", "array<map<string,variant>>")
-        plain = F.try_variant_get(value, "$", "array<variant>")
-        return (
-            F.when(inner.isNotNull(), F.transform(F.map_keys(inner), lambda k: F.concat(name, F.lit("."), k)))
-            .when(items.isNotNull(), F.array_distinct(F.flatten(F.transform(items, lambda m: F.transform(F.map_keys(m), lambda k: F.concat(name, F.lit("[]."), k))))))
-            .when(plain.isNotNull(), F.array(F.concat(name, F.lit("[]"))))
-            .otherwise(F.array(name))
-        )
+def _messages(field: str, role: str, *texts: str, roles: dict[str, str] | None = None) -> Callable[[Column], Column]:
+    """Turns of an array of objects; the first of `texts` that is there is the text."""
 
-    found = F.array_join(F.array_sort(F.flatten(F.transform(top, below))), "\n")
-    return F.when(top.isNotNull(), F.substring(F.sha2(found, 256), 1, 16))
+    def turns(v: Column) -> Column:
+        kind = f"array<struct<`{role}`:string,{','.join(f'`{t}`:string' for t in texts)}>>"
+        said = lambda m: F.coalesce(m[role], F.lit(""))
+        name = lambda m: reduce(lambda c, k: c.when(F.lower(said(m)) == k, F.lit(roles[k])), list(roles)[1:], F.when(F.lower(said(m)) == next(iter(roles)), F.lit(roles[next(iter(roles))]))).otherwise(said(m)) if roles else said(m)
+        return F.transform(F.try_variant_get(v, f"$.{field}", kind), lambda m: F.struct(name(m).alias("role"), F.coalesce(*(m[t] for t in texts), F.lit("")).alias("text"))).cast(TURNS)
 
+    return turns
 
-def _get(path: str):
-    return lambda r: F.get_json_object(r, f"$.{path}")
 
+#: What "from" fields call the two sides.
+SIDES = {"human": "user", "prompter": "user", "user": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant", "assistant": "assistant", "system": "system"}
 
-def _pair(*said: tuple[str, str]):
-    """Turns of fixed roles from single fields; absent and empty optional fields (role system or marked ?) give no turn."""
 
-    def turns(r: Column) -> Column:
-        each = []
-        for role, path in said:
-            text = _get(path.rstrip("?"))(r)
-            turn = F.array(F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text")))
-            each.append(F.when(F.coalesce(text, F.lit("")) != "", turn).otherwise(F.array().cast(TURNS)) if path.endswith("?") else turn)
-        return F.concat(*each).cast(TURNS)
+@dataclass(frozen=True)
+class Layout:
+    """Required and optional field paths ([] for the items of an array), and how to get turns from a record that has them."""
 
-    return turns
+    name: str
+    required: tuple[str, ...]
+    optional: tuple[str, ...]
+    mapping: Callable[[Column], Column]
 
+    def fingerprints(self) -> list[str]:
+        return [fingerprint_of([*self.required, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
-def _messages(field: str, role: str, text: str):
-    kind = f"array<struct<`{role}`:string,`{text}`:string>>"
 
-    def turns(r: Column) -> Column:
-        items = F.from_json(_get(field)(r), kind)
-        return F.transform(items, lambda m: F.struct(canonical_role(m[role]).alias("role"), m[text].alias("text"))).cast(TURNS)
+LAYOUTS = (
+    Layout("messages", ("messages[]",), ("messages[].role", "messages[].content", "messages[].text"), _messages("messages", "role", "content", "text")),
+    Layout("conversations", ("conversations[]",), ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value", roles=SIDES)),
+    Layout("instruction", ("instruction", "output"), ("input", "system"), _pair(("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "output"))),
+    Layout("completion", ("prompt", "completion"), ("system",), _pair(("system", "system?"), ("user", "prompt"), ("assistant", "completion"))),
+    Layout("response", ("prompt", "response"), ("system",), _pair(("system", "system?"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("question", ("question", "answer"), ("system",), _pair(("system", "system?"), ("user", "question"), ("assistant", "answer"))),
+)
 
-    return turns
+
+def fingerprint_of(field_paths: Sequence[str]) -> str:
+    """The same hash as fingerprint() gives for a record with these paths."""
+    return hashlib.sha256("\n".join(sorted(field_paths)).encode()).hexdigest()[:16]
 
 
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
+def known_paths(layouts: Sequence[Layout]) -> list[str]:
+    return sorted({p for x in layouts for p in (*x.required, *x.optional)})
 
 
-def canonical_role(role: Column) -> Column:
-    out = F.when(F.lit(False), role)
-    for a, b in ROLES.items():
-        out = out.when(F.lower(role) == a, F.lit(b))
-    return out.otherwise(role)
+def paths(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """The sorted paths of a record (a variant) among those of the layouts. Text where an array is known, or an object or array where text is, is
+    the path with a mark that no layout has."""
 
+    def kind(v: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
-#: (field paths, mapping to canonical turns)
-LAYOUTS: list[tuple[tuple[str, ...], object]] = [
-    (("messages[].content", "messages[].role"), _messages("messages", "role", "content")),
-    (("messages[].role", "messages[].text"), _messages("messages", "role", "text")),
-    (("id", "messages[].content", "messages[].role"), _messages("messages", "role", "content")),
-    (("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
-    (("conversations[].from", "conversations[].value", "id"), _messages("conversations", "from", "value")),
-    (("instruction", "output"), _pair(("user", "instruction"), ("assistant", "output"))),
-    (("input", "instruction", "output"), _pair(("user", "instruction"), ("user", "input?"), ("assistant", "output"))),
-    (("input", "instruction", "output", "system"), _pair(("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "output"))),
-    (("completion", "prompt"), _pair(("user", "prompt"), ("assistant", "completion"))),
-    (("prompt", "response"), _pair(("user", "prompt"), ("assistant", "response"))),
-    (("answer", "question"), _pair(("user", "question"), ("assistant", "answer"))),
-]
+    found = []
+    names = known_paths(layouts)
+    for p in (p for p in names if "[]." not in p):
+        value = F.try_variant_get(record, f"$.{p.removesuffix('[]')}", "variant")
+        k = kind(value)
+        if p.endswith("[]"):
+            found.append(F.when(k == "VOID", F.array()).when(k.startswith("ARRAY"), F.array(F.lit(p))).otherwise(F.array(F.lit(p + "?"))))
+            items = F.coalesce(F.try_variant_get(record, f"$.{p.removesuffix('[]')}", "array<variant>"), F.array().cast("array<variant>"))
+            for below in (q.removeprefix(p + ".") for q in names if q.startswith(p + ".")):
+                kinds = F.transform(items, _below(below, kind))
+                has = F.exists(kinds, lambda x: x != "VOID")
+                odd = F.exists(kinds, lambda x: x.startswith("ARRAY") | x.startswith("OBJECT"))
+                found.append(F.when(odd, F.array(F.lit(f"{p}.{below}?"))).when(has, F.array(F.lit(f"{p}.{below}"))).otherwise(F.array()))
+            # Items that aren't objects, or have none of the known fields, hold something else.
+            strange = F.exists(items, lambda m: ~kind(m).startswith("OBJECT"))
+            found.append(F.when(strange, F.array(F.lit(p + "*"))).otherwise(F.array()))
+        else:
+            found.append(F.when(k == "VOID", F.array()).when(k.startswith("ARRAY") | k.startswith("OBJECT"), F.array(F.lit(p + "?"))).otherwise(F.array(F.lit(p))))
+    return F.array_sort(F.concat(*(x.cast("array<string>") for x in found)))
 
 
-def canonical_turns(record: Column, layouts=None) -> Column:
-    """array<struct<role,text>> of a JSON record, by its fingerprint; null for an unknown layout."""
-    mark, out = fingerprint(record), F.when(F.lit(False), F.lit(None).cast(TURNS))
-    for fields, mapping in layouts or LAYOUTS:
-        out = out.when(mark == fingerprint_of(fields), mapping(record))
-    return out
+def _below(path: str, kind: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda m: kind(F.try_variant_get(m, f"$.{path}", "variant"))
 
 
-def canonicalize(df: DataFrame, layouts=None) -> Column:
-    """The turns of typed rows: the schema itself is hashed, once, on the driver; a nested array of structs stays typed."""
-    mark = fingerprint_of(paths(df.schema))
-    for fields, mapping in layouts or LAYOUTS:
-        if mark == fingerprint_of(fields):
-            arrays = [f for f in df.schema if isinstance(f.dataType, T.ArrayType)]
-            if arrays:
-                names = sorted(p.split("[].")[1] for p in fields if "[]." in p)
-                role = next(n for n in names if n in ("role", "from"))
-                text = next(n for n in names if n != role)
-                return F.transform(F.col(arrays[0].name), lambda m: F.struct(canonical_role(m[role]).alias("role"), m[text].alias("text")))
-            return mapping(F.to_json(F.struct(*df.columns)))
-    raise ValueError(f"no mapping for the layout {paths(df.schema)}")
+def fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """The hash of a record's paths; null for no record."""
+    return F.when(record.isNotNull(), F.substring(F.sha2(F.array_join(paths(record, layouts), "\n"), 256), 1, 16))
+
+
+def canonical(df: DataFrame, record_col: str, out_col: str = "turns", layout_col: str | None = None, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+    """The input's columns and out_col: the turns of each record (a variant, or JSON text), null for an unknown layout or no record.
+
+    layout_col: also the name of the layout. Columns of the input with these names are replaced.
+    """
+    plain, back = plain_names(df)
+    at = plain.columns[df.columns.index(record_col)]
+    record = F.try_parse_json(F.col(at)) if dict(plain.dtypes)[at] == "string" else F.col(at)
+    known = F.create_map(*(F.lit(x) for layout in layouts for f in layout.fingerprints() for x in (f, layout.name)))
+    # The fingerprint is taken once, in a projection of its own: its uses below are many.
+    rows = plain.withColumn("record", record).withColumn("mark", fingerprint(F.col("record"), layouts))
+    rows = rows.withColumn("layout", F.element_at(known, F.coalesce("mark", F.lit(""))))
+    turns = F.when(F.lit(False), F.lit(None).cast(TURNS))
+    for layout in layouts:
+        turns = turns.when(F.col("layout") == layout.name, layout.mapping(F.col("record")))
+    made = {out_col: turns} | ({layout_col: F.col("layout")} if layout_col else {})
+    gone = {c.lower() for c in made}
+    return rows.select(*(c for c, old in zip(back, df.columns, strict=True) if old.lower() not in gone), *(v.alias(k) for k, v in made.items()))
+
+
+def as_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """id, record: one variant for each conversation of a table with a row for each turn, in the plainest layout that holds it.
+
+    A question and its answer are prompt and response, with a system text of its own if one comes first; all else is messages. A
+    conversation is one record by definition, so its rows meet in one task; the other keys are spread by hash.
+    """
+    turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("content"))
+    grouped = rows.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("said"))
+    roles = F.array_join(F.transform("said", lambda t: t["role"]), "\n")
+    text = lambda i: F.get("said", F.lit(i))["content"]
+    pair = F.to_variant_object(F.struct(text(0).alias("prompt"), text(1).alias("response")))
+    led = F.to_variant_object(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response")))
+    listed = F.to_variant_object(F.struct(F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")))
+    record = F.when(roles == "user\nassistant", pair).when((roles == "system\nuser\nassistant") & (text(0) != ""), led).otherwise(listed)
+    return grouped.select("id", record.alias("record"))
 
 
 # --- template ----------------------------------------------------------------------------------------------------
@@ -189,16 +219,9 @@ def loss_spans(turns: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """id, formatted, loss_spans: one row for each conversation of a table with a row for each turn.
-
-    The rows are first brought to the messages layout; its fingerprint selects the mapping, as for any other layout. A
-    conversation is one string by definition, so its rows meet in one task; the other keys are spread by hash.
-    """
-    turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("said"))
-    layout = grouped.select("id", F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))
-    layout = layout.select("id", canonicalize(layout.select("messages")).alias("turns"))
-    return layout.select("id", format_turns(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+    """id, formatted, loss_spans: one row for each conversation of a table with a row for each turn; each record's fingerprint selects its mapping."""
+    said = canonical(as_records(rows, id_col, turn_col, role_col, text_col), "record")
+    return said.select("id", format_turns(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
