@@ -2,15 +2,16 @@
 
 Texts become token ids, an end id is appended, and only longer ones are cut into pieces of the sequence length. The plan
 needs the histogram of piece lengths alone (at most `size` numbers): weights on the lengths shrink as a length gets covered,
-a knapsack by dynamic programming finds the patterns of the greatest weight, their amounts are scaled to a cover, rounded
-down, and what is left is packed by best fit over its (small) histogram. Patterns times multiplicities number all slots, and
+a knapsack by dynamic programming finds the patterns of the greatest weight, and their amounts are scaled to a cover. Rounding: the whole
+parts of the amounts are taken; what they leave is priced again by the same weights and knapsack, now in whole patterns that the
+remaining pieces allow, full ones first, until nothing is left. So every sequence is a priced pattern. Patterns times multiplicities number all slots, and
 the k-th piece of a length gets the k-th slot of that length.
 
 The k comes without a single-task sort: a frequent length is split into hash buckets, as many as keep each bucket below a
 sixteenth of a mean task; buckets are numbered apart and their counts (at most 4096 + 16 * 4096 numbers) added up.
 Tokens are made once: pieces are written to the shared folder, and later steps read only numbers.
 
-Null and empty texts are one piece of the end id. Repeated rows are packed each; ids may be null. An empty table packs to no rows.
+Null and empty texts are one piece of the end id. Repeated rows are packed each; ids may be null and of any type. An empty table packs to no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, blocks, hash_spans, read, runs, words
+from .common import Scratch, blocks, hash_spans, read, runs, slices, words
 from .terms import fold
 
 SIZE = 4096
@@ -135,18 +136,15 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-_PIECES = "uid long, id long, piece int, start long, length int, ids_crc32 long"
-
-
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece; uid numbers rows (by task, so write the result before using it twice); with_ids: also the ids, packed."""
     end = np.array([end_id], "<u4").tobytes()
+    numbers = {"uid": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64(), "ids": pa.binary()}
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids_col = b.column("id").to_pylist()
-            out: dict[str, list] = defaultdict(list)
+        for b in slices(batches):
+            rows, out = [], defaultdict(list)
             for lo, hi, data, off in blocks(b.column("text")):
                 ids, bound = word_ids(path).rows(data, off)
                 ids = ids.astype("<u4")
@@ -154,17 +152,18 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     row, piece = ids[bound[i] : bound[i + 1]].tobytes() + end, 0
                     for at in range(0, len(row), 4 * size):
                         part = row[at : at + 4 * size]
-                        for k, v in (("uid", uid), ("id", ids_col[lo + i]), ("piece", piece), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
+                        rows.append(lo + i)
+                        for k, v in (("uid", uid), ("piece", piece), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
                             out[k].append(v)
                         if with_ids:
                             out["ids"].append(part)
                         uid, piece = uid + 1, piece + 1
-            if out:
-                kinds = {"uid": pa.int64(), "id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64(), "ids": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), *(pa.array(v, numbers[k]) for k, v in out.items())], ["id", *out])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = {"uid": "long", "piece": "int", "start": "long", "length": "int", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
+    return texts.mapInArrow(run, texts.select("id", *(F.lit(None).cast(t).alias(c) for c, t in columns.items())).schema)
 
 
 # --- plan --------------------------------------------------------------------------------------------------------
@@ -172,18 +171,17 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """best[c]: the most value in c tokens, lengths usable any number of times; last[c]: a length that gives it (0: one token is left out)."""
-    lengths = np.flatnonzero(value > 0)
-    v = value[lengths]
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    worth = np.where(value > 0, value, -np.inf)
+    last, got = np.zeros(size + 1, np.int64), np.empty(size)
+    back = np.zeros(size + 1)  # best, from the greatest room to none: the rooms that lengths 1, 2, ... leave lie in a row
     for c in range(1, size + 1):
-        k = np.searchsorted(lengths, c, "right")
-        best[c] = best[c - 1]
-        if k:
-            got = best[c - lengths[:k]] + v[:k]
-            j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], last[c] = got[j], lengths[j]
-    return best, last
+        np.add(back[size - c + 1 :], worth[1 : c + 1], out=got[:c])
+        j = int(got[:c].argmax())
+        if got[j] > back[size - c + 1]:
+            back[size - c], last[c] = got[j], j + 1
+        else:
+            back[size - c] = back[size - c + 1]
+    return back[::-1].copy(), last
 
 
 def _fill(last: np.ndarray, room: int) -> dict[int, int]:
@@ -203,7 +201,7 @@ def fractional(counts: np.ndarray, size: int, rounds: int = 80, at_once: int = 2
     A length's weight falls exponentially with the share of its pieces that is covered. Each round prices all lengths once
     (one dynamic program over a token's worth times the weight) and takes the best pattern around each of the least covered
     lengths, by half of what its scarcest length has. It ends when every length is covered `enough` times; amounts are then divided by
-    the mean cover (what a length lacks to its count, best fit packs).
+    the mean cover (what a length lacks to its count is left to the rounding).
     """
     have = np.flatnonzero(counts)
     if not len(have):
@@ -231,40 +229,65 @@ def fractional(counts: np.ndarray, size: int, rounds: int = 80, at_once: int = 2
     return {p: x / scale for p, x in amounts.items()}
 
 
-def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple, int]]:
-    """Patterns for the remaining counts: the longest piece first, then the longest that still fits, as often as the counts allow."""
-    out, left = [], left.copy()
-    while True:
-        have = np.flatnonzero(left)
-        if not len(have):
-            return out
-        room, pattern = size, {}
-        while True:
-            fits = have[: np.searchsorted(have, room, "right")]
-            free = next((int(x) for x in fits[::-1] if left[x] > pattern.get(int(x), 0)), 0)
-            if not free:
-                break
-            copies = min(room // free, int(left[free]) - pattern.get(free, 0))
-            pattern[free] = pattern.get(free, 0) + copies
-            room -= copies * free
-        times = min(int(left[x]) // k for x, k in pattern.items())
-        for x, k in pattern.items():
-            left[x] -= times * k
-        out.append((tuple(sorted(pattern.items(), reverse=True)), times))
+def _whole(value: np.ndarray, best: np.ndarray, last: np.ndarray, seed: int, left: np.ndarray, size: int) -> dict[int, int]:
+    """The best pattern around a length, of no more pieces than are left."""
+    pattern, room = {seed: 1}, size - seed
+    while room > 0:
+        x = int(last[room])
+        if x and pattern.get(x, 0) >= left[x]:  # used up: the best one of the others
+            have = np.flatnonzero(left[: room + 1])
+            have = have[[pattern.get(k, 0) < left[k] for k in have.tolist()]]
+            x = int(have[np.argmax(best[room - have] + value[have])]) if len(have) else -1
+        if x < 0:
+            break
+        if x:
+            pattern[x] = pattern.get(x, 0) + 1
+        room -= x or 1
+    return pattern
 
 
-def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple, int]]:
-    """[(pattern, multiplicity)] that holds exactly the counted pieces, from the rounded program or best fit alone, the better."""
-    left, out = counts.astype(np.int64).copy(), []
-    for pattern, amount in sorted(fractional(counts, size).items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
+def rounded(amounts: dict[tuple, float], counts: np.ndarray, size: int, at_once: int = 128, eta: float = 0.5, long_first: float = 0.1) -> list[tuple[tuple, int]]:
+    """[(pattern, multiplicity)] that holds exactly the counted pieces.
+
+    Whole parts first. Then, round by round, lengths are priced by what is left of them (and a little by length, since long pieces are the
+    hardest to place) and the best pattern around each of the longest is taken if it wastes no more than `slack` tokens, which is 0 until
+    full patterns become rare. A pattern is taken as often as a quarter of its scarcest length allows, once at least.
+    """
+    out, left = [], counts.astype(np.int64).copy()
+
+    def take(pattern, times: int) -> None:
+        for x, k in pattern:
+            left[x] -= times * k
+        out.append((pattern, times))
+
+    for pattern, amount in sorted(amounts.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
         times = min([int(amount), *(int(left[x]) // k for x, k in pattern)])
         if times > 0:
-            for x, k in pattern:
-                left[x] -= times * k
-            out.append((pattern, times))
-    out += best_fit(left, size)
-    plain = best_fit(counts, size)
-    return min(out, plain, key=lambda p: sum(t for _, t in p))
+            take(pattern, times)
+    whole, slack = left.copy(), 0
+    while left.any():
+        have = np.flatnonzero(left)
+        done = 1 - left[have] / whole[have]
+        value = np.zeros(size + 1)
+        value[have] = have * (1 + long_first * have / size) * np.exp(-eta * (done - done.min()))
+        best, last = knapsack(value, size)
+        tried = taken = 0
+        for seed in have[::-1][:at_once].tolist():
+            if left[seed]:
+                tried += 1
+                pattern = _whole(value, best, last, seed, left, size)
+                if sum(x * k for x, k in pattern.items()) >= size - slack:
+                    times = max(1, min(int(left[x]) // k for x, k in pattern.items()) // 4)
+                    take(tuple(sorted(pattern.items(), reverse=True)), times)
+                    taken += times
+        if 4 * taken < tried:
+            slack = 2 * slack + 1
+    return out
+
+
+def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple, int]]:
+    """[(pattern, multiplicity)] that holds exactly the counted pieces: the rounded program."""
+    return rounded(fractional(counts, size), counts, size)
 
 
 class Slots:
@@ -326,7 +349,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             cols = [b.column("id"), b.column("piece"), b.column("start"), pa.array(length), b.column("ids_crc32"), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(cols + ([b.column("ids")] if with_ids else []), names)
 
-    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
+    columns = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "binary"} if with_ids else {})
+    schema = ranked.select(F.col("id").alias(id_col), *(F.lit(None).cast(t).alias(c) for c, t in columns.items())).schema
     return ranked.mapInArrow(run, schema)
 
 
