@@ -33,16 +33,23 @@ class FactorizationMachine:
         return out
 
     def fit(self, rows: np.ndarray, feats: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.1, l2: float = 1e-4, least_df: int = 3, least_z: float = 2.5, seed: int = 7) -> FactorizationMachine:
-        """Only buckets in least_df documents or more, whose shares in both labels differ by least_z standard errors, get weights:
-        the many others would only let the model learn its rows by heart."""
+        """Features get weights and factors if they are in least_df documents or more and either their shares in both labels differ by least_z standard
+        errors, or they are in a pair that the weights alone don't explain (`paired`): the many others would only let the model learn its rows by heart."""
         df = np.bincount(feats, minlength=len(self.w))
         n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
         with_1 = np.bincount(feats[y[rows] > 0], minlength=len(self.w))
         p = df / len(y)
         error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        self.seen = (df >= least_df) & (np.abs(with_1 / n1 - (df - with_1) / n0) >= least_z * error)
-        self.v[~self.seen] = 0
-        keep = self.seen[feats]
+        alone = (df >= least_df) & (np.abs(with_1 / n1 - (df - with_1) / n0) >= least_z * error)
+        start = self.v.copy()
+        self.v[:] = 0
+        self._descend(rows, feats, y, alone, epochs // 4, batch, rate, l2, seed)
+        self.seen = alone | paired(rows, feats, y, sigmoid(level(self.raw(rows[alone[feats]], feats[alone[feats]], len(y)), y)), df >= least_df)
+        self.w0, self.w[:], self.v = np.float32(0), 0, np.where(self.seen[:, None], start, 0).astype(np.float32)
+        return self._descend(rows, feats, y, self.seen, epochs, batch, rate, l2, seed)
+
+    def _descend(self, rows: np.ndarray, feats: np.ndarray, y: np.ndarray, used: np.ndarray, epochs: int, batch: int, rate: float, l2: float, seed: int) -> FactorizationMachine:
+        keep = used[feats]
         rows, feats = rows[keep], feats[keep]
         n, k = len(y), self.v.shape[1]
         bounds = np.searchsorted(rows, np.arange(n + 1))
@@ -75,6 +82,55 @@ class FactorizationMachine:
         return self
 
 
+def level(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The raw scores, moved so that their mean probability is the labels' mean."""
+    lo, hi = -60.0, 60.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sigmoid(raw + mid).mean() < y.mean() else (lo, mid)
+    return raw + lo
+
+
+PAIR_TERMS = 128  # terms of a document that are tried in pairs, at most: those of the least hash, so that documents agree on them
+PAIR_BITS = 22
+
+
+def paired(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, p: np.ndarray, usable: np.ndarray, least_z: float = 6.0, least_df: int = 30) -> np.ndarray:
+    """Which features are in a pair whose documents' labels differ from the probabilities p by least_z standard errors, in sum.
+
+    Pairs meet in a table of hashed sums, so memory is fixed; two pairs in one entry may hide each other or bring in a feature in vain.
+    """
+    keep = usable[feats]
+    rows, feats = rows[keep], feats[keep]
+    key = (feats.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    order = np.lexsort((key, rows))
+    rows, feats, key = rows[order], feats[order], key[order]
+    bounds = np.searchsorted(rows, np.arange(len(y) + 1))
+    size = 1 << PAIR_BITS
+    gap, spread, count = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
+    var, off = p * (1 - p), y - p
+
+    def pairs(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = slice(bounds[i], min(bounds[i + 1], bounds[i] + PAIR_TERMS))
+        f, k = feats[a], key[a]
+        x, z = np.triu_indices(len(f), 1)
+        return f[x], f[z], (((k[x] + k[z]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    for i in range(len(y)):
+        _, _, at = pairs(i)
+        gap[at] += off[i]
+        spread[at] += var[i]
+        count[at] += 1
+    strong = (count >= least_df) & (np.abs(gap) >= least_z * np.sqrt(spread + 0.25))
+    out = np.zeros(len(usable), bool)
+    if strong.any():
+        for i in range(len(y)):
+            a, b, at = pairs(i)
+            hit = strong[at]
+            out[a[hit]] = out[b[hit]] = True
+    return out
+
+
 class TwoLayerNet:
     """tanh layer and a logistic output, on standardised inputs; Adam; a temperature fitted on rows kept apart from training."""
 

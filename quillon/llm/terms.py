@@ -35,15 +35,21 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """(id, y, text) of at most per_label rows of each label, held-out ids excepted, chosen by a hash of the id.
+    """(id, y, text) of at most per_label ids of each label, held-out ids excepted, chosen by a hash of the id.
 
     Each top list is kept by every task and merged (no shuffle of the labels); its size is bounded, so it may be broadcast.
-    Null ids and labels are left out; an id with both labels counts for both.
+    Null ids and labels are left out; an id with both labels counts for both. An id may have many rows: see `bounded`.
     """
-    good = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out("id"))
+    good = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out("id"))
     chosen: DataFrame | None = None
     for y in (0, 1):
         top = good.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
         chosen = top if chosen is None else chosen.unionByName(top)
     texts: Column = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), texts.alias("text")).join(F.broadcast(chosen.dropDuplicates()), "id")
+
+
+def bounded(rows: DataFrame, *order: str, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """At most per_label rows of each label y of what `sample` found, also where ids are repeated; each task keeps only such a top list."""
+    top = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", *order).limit(per_label) for y in (0, 1)]
+    return top[0].unionByName(top[1])
