@@ -17,22 +17,23 @@ away by more than about the ridge itself. Its minimum is w_i = max(0, 1 + p_i .
 convex function, which Newton's method finds in a few scans that add up K * K numbers for each of a few step lengths. A domain that no rates reach
 (no documents look like it) would ruin the others: it keeps pull 0, the others are met, and a warning names it.
 
-Copies: a document is taken floor(w) times, and once more if the hash of its id falls below the fraction; expected totals are
+Copies: a document is taken floor(w) times, and once more if the hash of its id and text falls below the fraction; expected totals are
 then those of the rates. Null and empty texts have no words: they keep the rate that their posterior gives and don't weigh in. A table
-without labelled rows keeps rate 1. Repeated rows have equal rates. Ids may be null.
+without labelled rows keeps rate 1, with even posteriors. Repeated rows have equal rates and copies; rows without id are told apart by their text.
 """
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, hash_spans, plain_names, read, words
+from .common import Scratch, add_column, blocks, hash_spans, plain_names, read, words
 from .models import SoftmaxRegression
 from .terms import fold
 
@@ -89,30 +90,26 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     return SoftmaxRegression(x.shape[1], len(domains)).fit(x, np.array(rows.column("k").to_pylist()), steps=80, rate=2.0)
 
 
-def posteriors(docs: DataFrame, model: SoftmaxRegression, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, p (array of posteriors)."""
+def posteriors(docs: DataFrame, model: SoftmaxRegression, text_col: str = "text", out_col: str = "soft") -> DataFrame:
+    """The input's columns and out_col, a struct of n_words and p (the array of posteriors). Each text is read once."""
     handle = docs.sparkSession.sparkContext.broadcast((model.w.astype(np.float32), model.b))
 
-    def run(batches):
+    def run(text):
         w, bias = handle.value
         model = SoftmaxRegression(*w.shape)
         model.w, model.b = w, bias
-        for b in batches:
-            ps, counts = [np.zeros((0, w.shape[1]))], [np.zeros(0, np.int64)]
-            for lo, hi, data, off in blocks(b.column("text"), 1 << 18):
-                for a in range(0, hi - lo, 2048):  # short rows: bounded feature matrices
-                    z = min(a + 2048, hi - lo)
-                    x, n = vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])
-                    ps.append(model.predict(x))
-                    counts.append(n)
-            p = np.concatenate(ps)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())], ["id", "n_words", "p"]
-            )
+        ps, counts = [np.zeros((0, w.shape[1]))], [np.zeros(0, np.int64)]
+        for lo, hi, data, off in blocks(text, 1 << 18):
+            for a in range(0, hi - lo, 2048):  # short rows: bounded feature matrices
+                z = min(a + 2048, hi - lo)
+                x, n = vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])
+                ps.append(model.predict(x))
+                counts.append(n)
+        p = np.concatenate(ps)
+        listed = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts).astype(np.int64)), listed], ["n_words", "p"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, rows.select("id", F.lit(0).cast("long").alias("n_words"), F.array(F.lit(0.0)).alias("p")).schema)
-    return out.withColumnRenamed("id", id_col)
+    return add_column(docs, out_col, "struct<n_words:bigint,p:array<double>>", run, text_col)
 
 
 def rates_of(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float, pull: np.ndarray | None = None) -> np.ndarray:
@@ -125,6 +122,15 @@ def rates_of(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float, pu
     return w
 
 
+def rate(p: Column, k: int, residuals: np.ndarray, step: float, ridge: float, pull: np.ndarray | None = None) -> Column:
+    """rates_of, as a column over an array of k posteriors."""
+    along = lambda x: reduce(lambda a, b: a + b, (F.get(p, i) * F.lit(float(v)) for i, v in enumerate(x)))
+    if pull is not None:
+        return F.greatest(F.lit(0.0), 1 + along(pull))
+    moves = F.array(*(along(r) for r in residuals)) if len(residuals) else F.array().cast("array<double>")
+    return F.aggregate(moves, F.lit(1.0), lambda w, m: F.greatest(F.lit(0.0), w - step * (m + ridge * (w - 1))))
+
+
 def add_up(soft: DataFrame, k: int, size: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """part(p, words), `size` numbers, added up over all rows of soft in one scan."""
 
@@ -202,58 +208,45 @@ def solve(soft: DataFrame, want: np.ndarray, free: np.ndarray, ridge: float) ->
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
-    """id_col, n_words, p, rate: a row for each document."""
-    domains = sorted(targets)
-    model = fit_domains(docs, labelled, domains, id_col, text_col, domain_col)
-    if model is None:
-        return docs.select(id_col, F.lit(0).cast("long").alias("n_words"), F.array(*[F.lit(1.0 / len(domains))] * len(domains)).alias("p"), F.lit(1.0).alias("rate"))
-    scratch = Scratch(docs.sparkSession, "mix")
-    soft = scratch.table(posteriors(docs, model, id_col, text_col), "soft")
-    residuals, step, pull = fit_rates(soft, [targets[d] for d in domains])
-
-    def run(batches):
-        for b in batches:
-            p = np.asarray(b.column("p").flatten()).reshape(-1, len(domains))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(p, residuals, step, RIDGE, pull))], [*b.schema.names, "rate"])
-
-    return soft.mapInArrow(run, soft.withColumn("rate", F.lit(0.0)).schema)
-
-
-def copies(rate: Column, id_col: Column) -> Column:
-    """How often a document is taken: the rate, rounded up with the probability of its fraction, by a hash of the id."""
-    u = F.pmod(F.xxhash64(id_col, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    """id_col, n_words, p, rate, copies: a row for each document."""
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"))
+    # The text isn't kept: its place is taken by its hash.
+    marked = plain.select("id", F.xxhash64("id", "text").alias("mark"), "text")
+    domains, scratch = sorted(targets), Scratch(docs.sparkSession, "mix")
+    model = fit_domains(marked, known, domains, "id", "text")
+    soft = posteriors(marked, model or SoftmaxRegression(2 << BITS, len(domains)), "text", "text").withColumnRenamed("text", "soft")
+    soft = scratch.table(soft, "soft")
+    one = F.lit(1.0)
+    if model is not None:
+        fitted = fit_rates(soft.select("soft.n_words", "soft.p"), [targets[d] for d in domains])
+        one = rate(F.col("soft.p"), len(domains), fitted[0], fitted[1], RIDGE, fitted[2])
+    out = soft.withColumn("rate", one)
+    return out.select(F.col("id").alias(id_col), F.col("soft.n_words").alias("n_words"), F.col("soft.p").alias("p"), "rate", copies(F.col("rate"), F.col("mark")).alias("copies"))
+
+
+def copies(rate: Column, mark: Column) -> Column:
+    """How often a document is taken: the rate, rounded up with the probability of its fraction, by a hash."""
+    u = F.pmod(F.xxhash64(mark, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, each as often as its rate says, with the input's columns."""
-    domains = sorted(targets)
-    model = fit_domains(docs, labelled, domains, id_col, text_col)
-    if model is None:
-        return docs
-    scratch = Scratch(docs.sparkSession, "resample")
-    soft = scratch.table(posteriors(docs, model, id_col, text_col).select("n_words", "p"), "soft")
-    residuals, step, pull = fit_rates(soft, [targets[d] for d in domains])
-    handle = docs.sparkSession.sparkContext.broadcast((model.w.astype(np.float32), model.b))
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
+    """The documents, each as often as its rate says, with the input's columns.
 
-    # The rate is a function of the text: it is computed beside the row, so no join is needed.
+    Rows are written once with their posteriors, so that texts are read once; the fit reads the numbers alone, and no join brings the rates back.
+    """
     plain, back = plain_names(docs)
-    place = dict(zip(docs.columns, plain.columns, strict=True))
-    def run(batches):
-        w, bias = handle.value
-        model = SoftmaxRegression(*w.shape)
-        model.w, model.b = w, bias
-        for b in batches:
-            rates = [np.zeros(0)]
-            for lo, hi, data, off in blocks(b.column(place[text_col]), 1 << 18):
-                for a in range(0, hi - lo, 2048):
-                    z = min(a + 2048, hi - lo)
-                    rates.append(rates_of(model.predict(vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]), residuals, step, RIDGE, pull))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(rates))], [*b.schema.names, "__rate"])
-
-    rated = plain.mapInArrow(run, plain.withColumn("__rate", F.lit(0.0)).schema)
-    taken = rated.withColumn("__copies", F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col(place[id_col]))))
-    return taken.select(*plain.columns, F.explode("__copies").alias("__copy")).select(*back)
+    place = dict(zip(reversed(docs.columns), reversed(plain.columns), strict=True))
+    domains, scratch = sorted(targets), Scratch(docs.sparkSession, "resample")
+    named = plain.select(F.col(place[id_col]).alias("id"), F.col(place[text_col]).alias("text"))
+    model = fit_domains(named, labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")), domains, "id", "text")
+    if model is None:
+        return docs
+    soft = scratch.table(posteriors(plain, model, place[text_col]), "soft")
+    fitted = fit_rates(soft.select("soft.n_words", "soft.p"), [targets[d] for d in domains])
+    taken = copies(rate(F.col("soft.p"), len(domains), fitted[0], fitted[1], RIDGE, fitted[2]), F.xxhash64(place[id_col], place[text_col]))
+    return soft.select(*plain.columns, F.explode(F.array_repeat(F.lit(1), taken)).alias("copy")).select(*back)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,4 +256,4 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(ids, "doc_id")
     out = mix(docs.select("doc_id", "text"), labelled)
     p = [F.get("p", i).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
-    return out.select("doc_id", "n_words", *p, "rate", copies(F.col("rate"), F.col("doc_id")).cast("long").alias("copies"))
+    return out.select("doc_id", "n_words", *p, "rate", F.col("copies").cast("long").alias("copies"))

@@ -10,13 +10,18 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Equ
   bitmap of fixed size (tokens in two documents or more) and a level table of fixed size. A crowded bitmap only worsens the
   order. Tokens in one document make no list entry at all, so most documents of a corpus without copies emit nothing.
 
-Long lists are never paired up: each list's set with the fewest rare tokens is its pivot and is compared with the others; what that links
+The boundary x is at most MOST_SMALL, a bound of cost alone: larger small sets would have more subsets than any list has entries. Sets above it
+go by lists, so no link is lost to it.
+
+Long lists are never paired up as a whole: each list's set with the fewest rare tokens is its pivot and is compared with the others; what that links
 is one component. Only lists with sets of several components are joined further, across components, behind the length and
-position bounds (PPJoin), which rule out most. Every candidate is verified on the whole sets. Components come from label
+position bounds (PPJoin), which rule out most. That join is cut into cells: a list's sets fall into blocks of about BLOCK sets by hash and into bands of length (a
+set can only link with those of its own and the next bands), and two blocks meet in one cell, so that no task gets more than BLOCK * BLOCK pairs
+however long the list. Every candidate is verified on the whole sets. Components come from label
 propagation. Nothing is collected but the two fixed-size tables and a histogram of 17 counts.
 
 Null and empty texts have no set and link with nothing; equal or repeated rows link through their common node; a null id
-keeps a null component if nothing links it. Columns beside id and text don't enter.
+keeps a null component if nothing links it. Ids are of any type with an order. Columns beside id and text don't enter.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, Scratch, blocks, hash_spans, mix, read, words
+from .common import LOWER, Scratch, blocks, hash_spans, mix, plain_names, read, words
 from .graph import components
 
 N = 5  # words in a shingle
@@ -39,6 +45,7 @@ SEEN_BITS = 27  # bits of the bitmap of tokens in two or more documents: 16 MB
 LEVEL_BITS = 20  # entries of the level table: 1 MB
 HEAVY = 16  # documents beyond which a token gets a level by its count
 MOST_SMALL = 8  # no boundary above this: subsets would outnumber any list
+BLOCK = 512  # sets of a list in one block
 
 _U = np.uint64
 _STEP = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -210,7 +217,7 @@ def entries(s: np.ndarray, order: Order, level: np.ndarray | None = None) -> lis
     return out
 
 
-_DOC = "id long, n int, node binary, entries array<struct<key:bigint,place:int>>, shingles binary"
+_DOC = {"n": "int", "node": "binary", "entries": "array<struct<key:bigint,place:int>>", "shingles": "binary"}
 
 
 def _emitter(handle):
@@ -238,7 +245,7 @@ def _emitter(handle):
                     nodes.append(node)
                     lists.append([{"key": k, "place": i} for k, i in found] if found else None)
                     shingles.append(s.tobytes() if found else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary()), pa.array(lists, kind), pa.array(shingles, pa.binary())], ["id", "n", "node", "entries", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary()), pa.array(lists, kind), pa.array(shingles, pa.binary())], ["id", "mark", "n", "node", "entries", "shingles"])
 
     return run
 
@@ -273,6 +280,19 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (node, node2) of a list's rows (key, node, n, place, label) with different labels that the bounds allow, cell by cell."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")  # sets that link are at most one band apart
+    cut = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("band", band)
+    one = cut.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"))
+    one = one.select("key", F.col("block").alias("x"), F.col("to").alias("y"), "band", "node", "n", "place", "label")
+    two = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("from")).select("*", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)).alias("near"))
+    two = two.select("key", F.col("from").alias("x"), F.col("block").alias("y"), F.col("near").alias("band"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "label")))
+    other = (F.col("label") != F.col("label2")) & ((F.col("x") < F.col("y")) | (F.col("label") < F.col("label2")))
+    return one.join(two, ["key", "x", "y", "band"]).where(other & _may_link(F.col("n"), F.col("place"), F.col("n2"), F.col("place2")))
+
+
 def links(posted: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of all sets that link with another. posted: (key, node, n, place), each key and node once."""
     lists = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("place", "n", "node")).alias("p"), F.min("n").alias("least"))
@@ -290,21 +310,21 @@ def links(posted: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame
     rest = scratch.table(rest, "rest")
     split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = scratch.table(rest.join(split, "key"), "open")
-    other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "label")))
-    across = open_.join(other, "key").where((F.col("label") < F.col("label2")) & _may_link(F.col("n"), F.col("place"), F.col("n2"), F.col("place2")))
-    across = scratch.table(across.select(*_pair("node", "node2")).distinct().join(star, ["a", "b"], "left_anti"), "across")
+    across = scratch.table(_across(open_).select(*_pair("node", "node2")).distinct().join(star, ["a", "b"], "left_anti"), "across")
     second = scratch.table(_verify(across, shingles), "links-2")
     out = components(first.unionByName(second), scratch, "cc2")
     scratch.drop("lists", "star", "rest", "open", "across", "links-1", "links-2")
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id), a row for each row of docs."""
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, n, node, label, component_id), a row for each row of docs; mark: a hash of the text; label: the class's least node."""
     scratch = Scratch(docs.sparkSession, "ngram")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     handle = docs.sparkSession.sparkContext.broadcast(token_order(texts))
-    found = scratch.table(texts.mapInArrow(_emitter(handle), _DOC), "docs")
+    marked = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    schema = marked.select("id", "mark", *(F.lit(None).cast(t).alias(c) for c, t in _DOC.items())).schema
+    found = scratch.table(marked.mapInArrow(_emitter(handle), schema), "docs")
     # Written, so that joins on a hot pivot have nothing but exchanges below them, which can be split.
     listed = scratch.table(found.where(F.col("entries").isNotNull()).select("node", "n", "entries", "shingles").dropDuplicates(["node"]), "listed")
     posted = scratch.table(listed.select("node", "n", F.inline("entries")).dropDuplicates(["key", "node"]), "posted")
@@ -315,10 +335,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = nodes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     nodes = scratch.table(nodes, "nodes")
     least = scratch.table(nodes.groupBy("label").agg(F.min("id").alias("component_id")), "least")
-    place = scratch.table(nodes.join(least, "label").select("node", "component_id"), "place")
-    return found.select("id", "n", "node").join(place, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    place = scratch.table(nodes.join(least, "label").select("node", "label", "component_id"), "place")
+    scratch.drop("nodes", "least")
+    return found.select("id", "mark", "n", "node").join(place, "node", "left").select("id", "mark", "n", "node", "label", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id), a row for each row of docs."""
+    return classify(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +350,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that of the least id; of rows with one id, one. Rows without words or id stay."""
-    found = classes(docs, id_col, text_col).where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(found, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])).select(*docs.columns)
+    """One row of each class, with the input's columns: that of the least id (none last), and of rows with that id the one of the least hash of the text.
+
+    A row goes only if its own text is in a class with an earlier row, so rows that share an id with other texts are judged apart; of equal
+    rows one stays. Rows without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    own = F.xxhash64("id").alias("own")  # with the mark, a key of 128 bits that is never null
+    each = scratch.table(classify(docs, id_col, text_col).where("n > 0").select("id", own, "mark", "label").distinct(), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "own"))
+    stay = each.groupBy("label").agg(first.alias("f")).select("f.own", "f.mark", F.lit(True).alias("stays"))
+    judged = each.select("own", "mark").join(stay, ["own", "mark"], "left").select("own", "mark", F.coalesce("stays", F.lit(False)).alias("stays"))
+    judged = scratch.table(judged, "judged")
+    scratch.drop("classes")
+
+    plain, back = plain_names(docs)
+    at = {c: plain.columns[docs.columns.index(c)] for c in (id_col, text_col)}
+    rows = plain.withColumns({"own": F.xxhash64(at[id_col]), "mark": F.xxhash64(F.coalesce(at[text_col], F.lit("")))})
+    rows = rows.join(judged, ["own", "mark"], "left").where(F.coalesce("stays", F.lit(True)))
+    # Equal rows are in one task after the join, and the first stays. Rows without words, which all stay, get keys of their own.
+    rows = rows.withColumn("apart", F.when(F.col("stays").isNull(), F.monotonically_increasing_id()))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("own", "mark", "apart").orderBy("mark")))
+    return rows.where("turn = 1").select(*back)

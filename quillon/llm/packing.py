@@ -169,6 +169,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 # --- plan --------------------------------------------------------------------------------------------------------
 
 
+LONG_FIRST = 0.1  # how much more a token is worth in the longest piece than in the shortest: long pieces are the hardest to place
+
+
 def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """best[c]: the most value in c tokens, lengths usable any number of times; last[c]: a length that gives it (0: one token is left out)."""
     worth = np.where(value > 0, value, -np.inf)
@@ -195,13 +198,13 @@ def _fill(last: np.ndarray, room: int) -> dict[int, int]:
     return out
 
 
-def fractional(counts: np.ndarray, size: int, rounds: int = 80, at_once: int = 256, eta: float = 4.0, enough: float = 2.0) -> dict[tuple, float]:
+def fractional(counts: np.ndarray, size: int, rounds: int = 80, at_once: int = 256, eta: float = 4.0, enough: float = 2.0, step: float = 0.5) -> dict[tuple, float]:
     """Amounts of patterns that cover the counts, by multiplicative weights. A pattern: ((length, copies), ...).
 
     A length's weight falls exponentially with the share of its pieces that is covered. Each round prices all lengths once
     (one dynamic program over a token's worth times the weight) and takes the best pattern around each of the least covered
     lengths, by half of what its scarcest length has. It ends when every length is covered `enough` times; amounts are then divided by
-    the mean cover (what a length lacks to its count is left to the rounding).
+    the least cover, so that they cover every length.
     """
     have = np.flatnonzero(counts)
     if not len(have):
@@ -213,19 +216,19 @@ def fractional(counts: np.ndarray, size: int, rounds: int = 80, at_once: int = 2
     amounts: dict[tuple, float] = defaultdict(float)
     for _ in range(rounds):
         value = np.zeros(size + 1)
-        value[have] = have * np.exp(-eta * np.minimum(covered - covered.min(), 5.0)) + 1e-6 * have
+        value[have] = have * (1 + LONG_FIRST * have / size) * np.exp(-eta * np.minimum(covered - covered.min(), 5.0)) + 1e-6 * have
         _, last = knapsack(value, size)
         for j in np.argsort(covered, kind="stable")[:at_once]:
             pattern = _fill(last, size - int(have[j]))
             pattern[int(have[j])] = pattern.get(int(have[j]), 0) + 1
             at = where[list(pattern)]
             copies = np.array(list(pattern.values()), float)
-            amount = 0.5 * float(np.min(n[at] / copies))
+            amount = step * float(np.min(n[at] / copies))
             amounts[tuple(sorted(pattern.items(), reverse=True))] += amount
             covered[at] += amount * copies / n[at]
         if covered.min() >= enough:
             break
-    scale = max(float(np.average(covered, weights=n * have)), 1e-9)
+    scale = float(covered.min())
     return {p: x / scale for p, x in amounts.items()}
 
 
@@ -246,7 +249,7 @@ def _whole(value: np.ndarray, best: np.ndarray, last: np.ndarray, seed: int, lef
     return pattern
 
 
-def rounded(amounts: dict[tuple, float], counts: np.ndarray, size: int, at_once: int = 128, eta: float = 0.5, long_first: float = 0.1) -> list[tuple[tuple, int]]:
+def rounded(amounts: dict[tuple, float], counts: np.ndarray, size: int, at_once: int = 128, eta: float = 0.5) -> list[tuple[tuple, int]]:
     """[(pattern, multiplicity)] that holds exactly the counted pieces.
 
     Whole parts first. Then, round by round, lengths are priced by what is left of them (and a little by length, since long pieces are the
@@ -260,7 +263,7 @@ def rounded(amounts: dict[tuple, float], counts: np.ndarray, size: int, at_once:
             left[x] -= times * k
         out.append((pattern, times))
 
-    for pattern, amount in sorted(amounts.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
+    for pattern, amount in sorted(amounts.items(), key=lambda x: (sum(a * b for a, b in x[0]) == size, x[0]), reverse=True):
         times = min([int(amount), *(int(left[x]) // k for x, k in pattern)])
         if times > 0:
             take(pattern, times)
@@ -269,10 +272,10 @@ def rounded(amounts: dict[tuple, float], counts: np.ndarray, size: int, at_once:
         have = np.flatnonzero(left)
         done = 1 - left[have] / whole[have]
         value = np.zeros(size + 1)
-        value[have] = have * (1 + long_first * have / size) * np.exp(-eta * (done - done.min()))
+        value[have] = have * (1 + LONG_FIRST * have / size) * np.exp(-eta * (done - done.min()))
         best, last = knapsack(value, size)
         tried = taken = 0
-        for seed in have[::-1][:at_once].tolist():
+        for seed in have[::-1][: min(at_once, max(8, len(have) // 16))].tolist():
             if left[seed]:
                 tried += 1
                 pattern = _whole(value, best, last, seed, left, size)
