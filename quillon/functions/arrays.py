@@ -52,3 +52,38 @@ def count_matches(a, test: Callable) -> Column:
 
 def exists(a, test: Callable) -> Column:
     return F.coalesce(F.exists(_c(a), test), F.lit(False))
+
+
+def is_not_empty(a) -> Column:
+    return ~is_empty(a)
+
+
+def convert(a, change: Callable) -> Column:
+    return F.transform(_c(a), change)
+
+
+def contains(a, x) -> Column:
+    return F.coalesce(F.array_contains(_c(a), x), F.lit(False))
+
+
+def get(a, i: int, other=None) -> Column:
+    """From 0; another value where there is no such place."""
+    return F.coalesce(F.get(_c(a), F.lit(i)) if i >= 0 else F.lit(None), F.lit(other))
+
+
+def is_index_valid(a, i) -> Column:
+    i = i if isinstance(i, Column) else F.lit(i)
+    return F.coalesce((i >= 0) & (i < F.size(_c(a))), F.lit(False))
+
+
+def reverse(a) -> Column:
+    return F.reverse(_c(a))
+
+
+def deep_equals(a, b) -> Column:
+    return _c(a).eqNullSafe(_c(b))
+
+
+def frequencies(df, *keys: str):
+    """How often each value comes, the most frequent first by n; counted before rows move."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -106,3 +106,78 @@ def duration_text(millis) -> Column:
     """d days h:mm:ss of a number of milliseconds."""
     s = F.floor(_c(millis) / 1000)
     return F.format_string("%d days %d:%02d:%02d", F.floor(s / 86400).cast("long"), F.floor(s % 86400 / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), (s % 60).cast("long"))
+
+
+# --- now
+
+SPANS = {"year": 365 * 86_400_000, "month": 30 * 86_400_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1000}
+
+
+def now_text(pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(F.current_timestamp(), pattern)
+
+
+def now_number(pattern: str = "yyyyMMdd") -> Column:
+    return now_text(pattern).cast("long")
+
+
+def current_year() -> Column:
+    return F.year(F.current_timestamp())
+
+
+def day_of(d) -> Column:
+    return F.day(_c(d))
+
+
+def hour_of(d) -> Column:
+    return F.hour(_c(d))
+
+
+def begin_of_tomorrow() -> Column:
+    return F.date_trunc("day", F.current_timestamp()) + F.expr("INTERVAL 1 DAY")
+
+
+def month_and_day(m, d) -> Column:
+    """0101 of 1 and 1."""
+    two = lambda x: F.when(F.length(x) == 1, F.concat(F.lit("0"), x)).otherwise(x)
+    return F.concat(two(_c(m).cast("string")), two(_c(d).cast("string")))
+
+
+# --- spans of milliseconds
+
+
+def to_unit(millis, unit: str) -> Column:
+    """Whole years (of 365 days), months (of 30), days, hours, minutes or seconds, towards zero."""
+    x = _c(millis)
+    return F.when(x >= 0, F.floor(x / SPANS[unit])).otherwise(F.ceil(x / SPANS[unit])).cast("long")
+
+
+def past(d, unit: str, now: Column | None = None) -> Column:
+    """Whole units from a time to now."""
+    return to_unit(F.unix_millis(now if now is not None else F.current_timestamp()) - F.unix_millis(_c(d).cast("timestamp")), unit)
+
+
+def past_text(millis, names: tuple[str, ...] = ("年", "个月", "天", "小时", "分钟", "秒")) -> Column:
+    """A span as its parts that aren't zero, from years to seconds."""
+    rest, parts = _c(millis), []
+    for unit, name in zip(SPANS, names, strict=True):
+        n = F.floor(rest / SPANS[unit])
+        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(name))))
+        rest = rest - n * SPANS[unit]
+    return F.concat_ws("", *parts)
+
+
+# --- zones
+
+
+def to_local(d, zone: str) -> Column:
+    """A time without zone, as clocks in the zone show it."""
+    return F.from_utc_timestamp(_c(d), zone).cast("timestamp_ntz")
+
+
+def from_local(d, zone: str) -> Column:
+    return F.to_utc_timestamp(_c(d), zone)
+
+
+def utc_text_to_local(s, pattern: str, zone: str) -> Column:
+    return F.from_utc_timestamp(F.try_to_timestamp(_c(s), F.lit(pattern)), zone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,104 @@ def numbers_min(*xs) -> Column:
 
 def numbers_max(*xs) -> Column:
     return F.greatest(*map(_c, xs)) if len(xs) > 1 else _c(xs[0])
+
+
+def is_not_number(s) -> Column:
+    return ~is_number(s)
+
+
+def is_coin_amount(s) -> Column:
+    """A whole or decimal number that isn't negative."""
+    return is_positive_integer(s) | is_positive_decimal(s)
+
+
+def deduct_fee(x, rate, places: int = 6) -> Column:
+    """x less its share, cut to the places."""
+    return cut(_d(x) - _d(x) * F.lit(rate).cast("decimal(18,9)"), places)
+
+
+def divide_up(a, b, places: int) -> Column:
+    """The quotient to 18 places, then rounded away from zero."""
+    return cut_up(_d(a) / _d(b), places)
+
+
+def compare_abs(a, b) -> Column:
+    return F.signum(F.abs(_d(a)) - F.abs(_d(b))).cast("int")
+
+
+def increase_step(s, step: int) -> Column:
+    """The step is added at the last decimal place: 1.20 and 3 give 1.23. Blank: null."""
+    s = _c(s)
+    places = F.when(F.instr(s, ".") > 0, F.length(s) - F.instr(s, ".")).otherwise(0)
+    moved = F.replace(s, F.lit("."), F.lit("")).try_cast("decimal(38,0)") + F.lit(step).cast("decimal(38,0)")
+    digits = F.lpad(F.abs(moved).cast("decimal(38,0)").cast("string"), F.greatest(F.length(F.abs(moved).cast("decimal(38,0)").cast("string")), places + 1), F.lit("0"))
+    text = F.when(places > 0, F.concat(F.left(digits, F.length(digits) - places), F.lit("."), F.right(digits, places))).otherwise(digits)
+    return F.when(s.rlike(r"\S"), F.concat(F.when(moved < 0, "-").otherwise(""), text))
+
+
+def average(a, b, places: int) -> Column:
+    return cut((_d(a) + _d(b)) / 2, places)
+
+
+def accuracy_all(s) -> Column:
+    """Digits behind the point, trailing zeros too."""
+    return F.when(F.instr(_c(s), ".") > 0, F.length(F.substring_index(_c(s), ".", -1))).otherwise(F.lit(0))
+
+
+def round_text(x, places: int = 2) -> Column:
+    """Rounded half to even, with these places and without a leading zero."""
+    return F.regexp_replace(F.replace(F.format_number(F.bround(_c(x).cast("decimal(38,18)"), places), places), F.lit(","), F.lit("")), r"^(-?)0\.", "$1.")
+
+
+def to_unsigned(x) -> Column:
+    """Without the sign, as text."""
+    return F.regexp_replace(_c(x).cast("string"), "^[-+]", "")
+
+
+def digits_of(s) -> Column:
+    """All digits and points of a text."""
+    return F.regexp_replace(_c(s), r"[^0-9.]", "")
+
+
+def first_number(s) -> Column:
+    return F.nullif(F.regexp_extract(_c(s), r"(\d+)", 1), F.lit(""))
+
+
+def add_all(x, *others) -> Column:
+    """Nulls count as 0."""
+    zero = F.lit(0)
+    return reduce(lambda a, b: a + F.coalesce(_c(b), zero), others, F.coalesce(_c(x), zero))
+
+
+def subtract_all(x, *others) -> Column:
+    zero = F.lit(0)
+    return reduce(lambda a, b: a - F.coalesce(_c(b), zero), others, F.coalesce(_c(x), zero))
+
+
+# Chinese capital numerals and the units of amounts.
+RMB_DIGITS = "零壹贰叁肆伍陆柒捌玖"
+RMB_PLACES = ("", "拾", "佰", "仟")
+
+
+def amount_in_chinese(s) -> Column:
+    """An amount above zero with up to 12 whole digits and two places, in capital numerals; anything else: null.
+
+    Groups of four digits are written apart; zeros inside and between groups count once, those at a group's end not at all.
+    """
+    text = F.replace(_c(s).cast("string"), F.lit(","), F.lit(""))
+    text = F.when(F.instr(text, ".") > 0, text).otherwise(F.concat(text, F.lit(".00")))
+    ok = text.rlike(r"^(0|[1-9]\d{0,11})\.(\d\d)$") & (text != "0.00")
+    whole, cents = F.lpad(F.substring_index(text, ".", 1), 12, "0"), F.substring_index(text, ".", -1)
+    digit = lambda i: F.substring(whole, i + 1, 1).try_cast("int")
+    name = lambda d: F.substring(F.lit(RMB_DIGITS), d + 1, F.lit(1))
+    pieces = []
+    for i in range(12):
+        pieces.append(F.when(digit(i) > 0, F.concat(name(digit(i)), F.lit(RMB_PLACES[(11 - i) % 4]))).otherwise("零"))
+        if i in (3, 7):  # the end of a group
+            pieces.append(F.when(F.substring(whole, i - 2, 4) != "0000", "亿" if i == 3 else "万").otherwise(""))
+    raw = F.concat(*pieces)
+    raw = F.regexp_replace(F.regexp_replace(raw, "零+", "零"), "零(万|亿)", "$1")
+    raw = F.regexp_replace(F.regexp_replace(raw, "^零+", ""), "零+$", "")
+    tens, ones = F.substring(cents, 1, 1).try_cast("int"), F.substring(cents, 2, 1).try_cast("int")
+    small = F.concat(F.when(tens > 0, F.concat(name(tens), F.lit("角"))).when(raw != "", "零").otherwise(""), F.when(ones > 0, F.concat(name(ones), F.lit("分"))).otherwise(""))
+    return F.when(ok, F.concat(F.when(raw != "", F.concat(raw, F.lit("元"))).otherwise(""), F.when(cents == "00", "整").otherwise(small)))

@@ -5,45 +5,21 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.parser import parse_expr
+from .matching import match_rows
 
-def match_recognize(df: DataFrame, partition: list[str], order: list[str], define: dict[str, Column], pattern: str, measures: dict[str, tuple[str, str, str]]) -> DataFrame:
-    """ONE ROW PER MATCH, AFTER MATCH SKIP PAST LAST ROW.
 
-    Rows become symbols by the first condition of `define` that holds (conditions may use lag() over the order; others: '-').
-    The pattern is a regular expression over one-letter symbols. measures: name -> (first|last|count, symbol or *, column).
-    A partition is matched as one ordered sequence, as the clause defines; partitions are spread by hash.
-    """
-    if any(len(s) != 1 for s in define):
-        raise ValueError("symbols are single letters")
-    w = Window.partitionBy(*partition).orderBy(*order)
-    symbol = reduce(lambda c, s: c.when(define[s], F.lit(s)), list(define)[1:], F.when(define[list(define)[0]], F.lit(list(define)[0]))).otherwise(F.lit("-"))
-    cols = sorted({c for _, _, c in measures.values() if c != "*"})
-    rows = df.withColumn("__n", F.row_number().over(w)).withColumn("__s", symbol)
-    seq = rows.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct("__n", "__s", *cols))).alias("__rows"))
-    text = F.array_join(F.transform("__rows", lambda r: r["__s"]), "")
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    # Places: walk the matches from left to right through the text.
-    places = F.aggregate(
-        found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("out")),
-        lambda acc, m: F.struct(
-            (F.call_function("locate", m, text, acc["at"] + 1) + F.length(m) - 1).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.call_function("locate", m, text, acc["at"] + 1).cast("int").alias("a"), F.length(m).alias("n")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    hits = seq.select(*partition, "__rows", F.posexplode(F.filter(places, lambda p: p["n"] > 0)).alias("match_no", "__p"))
-    part = F.slice("__rows", F.col("__p.a"), F.col("__p.n"))
-
-    def measure(kind: str, sym: str, col: str) -> Column:
-        own = part if sym == "*" else F.filter(part, lambda r: r["__s"] == sym)
-        if kind == "count":
-            return F.size(own)
-        return F.try_element_at(own, F.lit(1 if kind == "first" else -1))[col]
-
-    return hits.select(*partition, (F.col("match_no") + 1).alias("match_no"), *(measure(*m).alias(k) for k, m in measures.items()))
+def match_recognize(df: DataFrame, partition: list[str], order: list[str], define: dict[str, str], pattern: str, measures: dict[str, str], all_rows: bool = False) -> DataFrame:
+    """MATCH_RECOGNIZE from parts: define and measures are Spark SQL, such as {"V": "event_type = 'view'"} and {"views": "COUNT(V.*)"}."""
+    from ..plans.emit import Emitter
+
+    parsed = [(name, parse_expr(text, "spark")) for name, text in measures.items()]
+    return match_rows(df, partition, order, {k.upper(): v for k, v in define.items()}, pattern, parsed, all_rows, em=Emitter("spark"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
@@ -72,9 +48,14 @@ def delete(target: DataFrame, where: Column) -> DataFrame:
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update_with: dict[str, str] | None = None, delete_when: Column | None = None, insert: bool = True) -> DataFrame:
-    """The state of target after MERGE: matched rows take update_with (column -> source column) or go, others of source come in."""
+    """The state of target after MERGE: matched rows take update_with (column -> source column) or go, others of source come in.
+
+    Several source rows for one key that the target has are an error, as the clause demands; keys are counted before they meet the target.
+    """
+    twice = source.groupBy(*keys).agg(F.count("*").alias("__times")).where("__times > 1").select(*(F.col(k).alias(f"__d_{k}") for k in keys), F.lit(True).alias("__twice"))
+    t = target.withColumn("__own", F.lit(True)).join(twice, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__d_{k}") for k in keys)), "left")
+    t = t.withColumn("__own", F.when(F.col("__twice"), F.raise_error(F.lit("MERGE: several source rows change one row")).cast("boolean")).otherwise(F.col("__own")))
     s = source.select(*(F.col(c).alias(f"__s_{c}") for c in source.columns), F.lit(True).alias("__hit"))
-    t = target.withColumn("__own", F.lit(True))
     cond = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__s_{k}") for k in keys))
     rows = t.join(s, cond, "full" if insert else "left")
     if delete_when is not None:
@@ -88,6 +69,41 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_with: di
     return rows.select(*out)
 
 
+def skyline(df: DataFrame, prefer: dict[str, str]) -> DataFrame:
+    """Rows that no other row is at least as good as in all and better in one of the preferred columns ("low" or "high").
+
+    Each task keeps the skyline of its rows, which is small, and the few that are left are compared in one task: no pairs of all rows are made.
+    Rows with a null preference are never better than others and stay only if nothing beats them in what they have: they are left out, as by SQL's comparisons
+    nothing beats them either, so they are added back as they are.
+    """
+    cols, signs = list(prefer), np.array([1.0 if v == "low" else -1.0 for v in prefer.values()])
+
+    def best(x: np.ndarray) -> np.ndarray:
+        """Places of the rows that no other row dominates; sorted by sum, a row can only be beaten by one before it."""
+        order = np.argsort(x.sum(1), kind="stable")
+        kept: list[int] = []
+        front = np.empty((0, x.shape[1]))
+        for i in order:
+            if not len(front) or not ((front <= x[i]).all(1) & (front < x[i]).any(1)).any():
+                kept.append(int(i))
+                front = np.concatenate([front, x[i : i + 1]])
+        return np.array(sorted(kept), np.int64)
+
+    def local(batches):
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if table.num_rows:
+                x = np.stack([np.asarray(table.column(c).cast(pa.float64())) for c in cols], 1) * signs
+                held = table.take(best(x))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))
+    one = df.where(known).mapInArrow(local, df.schema).coalesce(1).mapInArrow(local, df.schema)
+    return one.unionByName(df.where(~known))
+
+
 def insert_first(source: DataFrame, branches: list[tuple[Column, str]], first: bool = True) -> dict[str, DataFrame]:
     """INSERT FIRST or ALL WHEN …: the rows of each branch; with first, a row goes to its first branch only."""
     out, before = {}, F.lit(False)

@@ -7,12 +7,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import convert_all
+from ..engine import convert_all, inspect_all
+from ..functions import crypto as K
 from ..functions import expressions as X
 from ..functions import htmls as H
+from ..functions import ids as I
 from ..functions import jsons as J
-from ..plans import govern as G
-from ..sources import mock
+from ..functions import random as R
+from ..sources import mock, templates
 from ..streaming import windows as W
 from . import patterns as P
 from .scalar import table
@@ -61,10 +63,10 @@ def insert_first(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("branch").agg(F.count("*").alias("n"))
 
 
-@query("WITH k AS (SELECT DISTINCT o_orderpriority FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM orders), c AS (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY o_orderpriority, o_orderstatus) SELECT k.o_orderpriority, s.o_orderstatus, c.n FROM (SELECT DISTINCT o_orderpriority FROM c) k CROSS JOIN s LEFT JOIN c USING (o_orderpriority, o_orderstatus)")
+@query("WITH k AS (SELECT DISTINCT o_orderpriority FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM orders), c AS (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus) SELECT k.o_orderpriority, s.o_orderstatus, c.n FROM (SELECT DISTINCT o_orderpriority FROM c) k CROSS JOIN s LEFT JOIN c USING (o_orderpriority, o_orderstatus)")
 def partitioned_outer_join(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    facts = o.where("o_custkey < 50").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    facts = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
     return P.densify(facts, ["o_orderpriority"], o, ["o_orderstatus"]).select("o_orderpriority", "o_orderstatus", "n")
 
 
@@ -81,8 +83,8 @@ def asof_join(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT user_id, unnest(regexp_extract_all(t, 'V+C')) AS hit FROM s) SELECT user_id, COUNT(*) AS matches, CAST(SUM(length(hit) - 1) AS BIGINT) AS views FROM m GROUP BY user_id""")
 def match_recognize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    define = {"V": F.col("event_type") == "view", "C": F.col("event_type") == "click", "P": F.col("event_type") == "purchase"}
-    hits = P.match_recognize(e, ["user_id"], ["ts", "event_id"], define, "V+C", {"views": ("count", "V", "*"), "first_event": ("first", "*", "event_id")})
+    define = {"V": "event_type = 'view'", "C": "event_type = 'click'"}
+    hits = P.match_recognize(e, ["user_id"], ["ts", "event_id"], define, "V+ C", {"views": "COUNT(V.*)", "first_event": "FIRST(event_id)"})
     return hits.groupBy("user_id").agg(F.count("*").alias("matches"), F.sum("views").alias("views"))
 
 
@@ -127,22 +129,44 @@ STATEMENTS = [
 ]
 
 
-@query()
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    """A statement for each part: the table's rows are the workload."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    k = F.col("p_partkey") % len(STATEMENTS)
+    listed = F.array(*[F.struct(F.lit(x).alias("dialect"), F.lit(t).alias("sql")) for x, t in STATEMENTS])
+    return parts.select("p_partkey", F.element_at(listed, (k + 1).cast("int")).alias("s")).select("p_partkey", "s.dialect", "s.sql")
+
+
+def _expected(column: str, values: list[str | None]) -> str:
+    cases = " ".join(f"WHEN {i} THEN {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)}" for i, v in enumerate(values))
+    return f"CASE p_partkey % {len(values)} {cases} END AS {column}"
+
+
+SPARK_SQL = [
+    "SELECT id FROM t WHERE a = 1 OR 1 = 1", "DELETE FROM t", "SELECT * EXCEPT (__w2) FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY k NULLS LAST) AS __w2 FROM t) AS __q3 WHERE __w2 = 1", "SELECT a FROM t LIMIT 3", "SELECT x FROM t LIMIT 5", "SELECT SLEEP(5)", None, "SELECT * FROM a INNER JOIN b USING (id)", "SELECT a, b FROM t LATERAL VIEW explode(xs) e AS x", None,
+]
+CODES = ["always-true-condition", "delete-without-where", "", "", "", "sleep-function", "multi-statement,deny-ddl", "comment-bypass", "", "parse-error"]
+TOUCHED = ["t:SELECT", "t:DELETE", "t:SELECT", "t:SELECT", "t:SELECT", "", "t:DDL,t:UPDATE", "a:SELECT,b:SELECT", "t:SELECT", ""]
+
+
+@query(f"SELECT p_partkey, {_expected('spark_sql', SPARK_SQL)} FROM part")
 def dialect_conversion(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(STATEMENTS, "dialect string, sql string")
-    return convert_all(rows).select("dialect", "sql", F.col("converted.sql").alias("spark_sql"), F.col("converted.error").alias("error"))
+    return convert_all(_statements(spark, d)).select("p_partkey", F.col("converted.sql").alias("spark_sql"))
 
 
-@query()
+@query(f"SELECT p_partkey, {_expected('codes', CODES)} FROM part")
 def statement_firewall(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s, k, ",".join(G.wall(s, k))) for k, s in STATEMENTS], "sql string, dialect string, broken string")
+    return inspect_all(_statements(spark, d)).select("p_partkey", F.array_join("seen.codes", ",").alias("codes"))
 
 
-@query()
+@query(f"SELECT p_partkey, {_expected('touched', TOUCHED)} FROM part")
 def lineage(spark: SparkSession, d: str) -> DataFrame:
-    from .relational import TOPN
+    return inspect_all(_statements(spark, d)).select("p_partkey", F.array_join("seen.tables", ",").alias("touched"))
+
 
-    return spark.createDataFrame(G.stat(TOPN, "postgres").rows(), "kind string, name string, access string")
+@query("SELECT p.p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size <= p.p_size AND o.p_retailprice <= p.p_retailprice AND (o.p_size < p.p_size OR o.p_retailprice < p.p_retailprice))")
+def skyline(spark: SparkSession, d: str) -> DataFrame:
+    return P.skyline(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), {"p_size": "low", "p_retailprice": "low"}).select("p_partkey")
 
 
 # --- generators and streams
@@ -150,9 +174,39 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
 FIELDS = {"id": {"kind": "id"}, "age": {"kind": "int", "min": 18, "max": 90}, "name": {"kind": "name"}, "mail": {"kind": "email", "nulls": 0.1}, "code": {"kind": "pattern", "pattern": "[A-C]{2}-\\d{3}"}, "state": {"kind": "enum", "values": ["new", "old"]}}
 
 
-@query()
+@query("SELECT 'id' AS field, 1000::BIGINT AS good UNION ALL SELECT 'age', 1000 UNION ALL SELECT 'name', 1000 UNION ALL SELECT 'mail', 1000 UNION ALL SELECT 'code', 1000 UNION ALL SELECT 'state', 1000")
 def mock_rows(spark: SparkSession, d: str) -> DataFrame:
-    return mock.generate(spark, 1000, FIELDS, seed=4)
+    """How many of 1,000 rows are as their fields say (a tenth of the mails may be null)."""
+    rows = mock.generate(spark, 1000, FIELDS, seed=4)
+    tests = {"id": F.col("id").between(1, 1000), "age": F.col("age").between(18, 90), "name": F.col("name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$"), "mail": F.col("mail").isNull() | F.col("mail").rlike(r"^[a-z]+\\.\\d+@example\\.(com|org|net)$"), "code": F.col("code").rlike(r"^[A-C]{2}-\\d{3}$"), "state": F.col("state").isin("new", "old")}
+    counts = rows.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("good")) for k in tests])))
+
+
+TEMPLATE = {"id|+1": 1, "name": "@name", "age|18-30": 0, "price|1-10.2": 0, "ok|1": True, "stars|1-3": "*", "tags|2": ["@word(3)"], "pick|1": ["a", "b"], "code": "/[A-Z]{2}-\\d{3}/", "kids|1-2": [{"n": "@first", "x|1-5": 1}]}
+
+
+@query("SELECT o_orderkey, true AS fits, (o_custkey < 18 OR o_custkey > 30) AS broken FROM orders")
+def template_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A generated record for each order, held against its own template, and once more with the customer as its age."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    draw = R.Draw(F.col("o_orderkey"), 5)
+    fields = templates.Compiler(spark).fields(TEMPLATE, draw)
+    made = rows.select("o_orderkey", "o_custkey", F.struct(*(v.alias(k) for k, v in fields.items())).alias("r"))
+    good = templates.problems(made.select("o_orderkey", "o_custkey", "r", F.to_json("r").alias("json")), TEMPLATE, "json").withColumnRenamed("problems", "own")
+    bad = templates.problems(good.withColumn("json", F.to_json(F.col("r").withField("age", F.col("o_custkey")))), TEMPLATE, "json")
+    return bad.select("o_orderkey", (F.size("own") == 0).alias("fits"), (F.size("problems") > 0).alias("broken"))
+
+
+@query("SELECT c_custkey, true AS card, true AS luhn, true AS mail, true AS ip, true AS mac, true AS uuid, true AS pattern, true AS ulid FROM customer")
+def random_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of each family for each customer, tested for their form."""
+    r = R.Draw(F.col("c_custkey"), 9)
+    made = table(spark, d, "customer").select("c_custkey", r.idCard().alias("card"), r.bankCard().alias("bank"), r.email().alias("mail"), r.ip().alias("ip"), r.mac().alias("mac"), r.uuid().alias("uuid"), r.regex("[a-c]{2}(x|y)\\d+").alias("p"), I.ulid(F.lit(1_700_000_000_000), F.col("c_custkey")).alias("ulid"))
+    return made.select(
+        "c_custkey", K.id_card_checksum_ok("card").alias("card"), (R.luhn(F.substring("bank", F.lit(1), F.length("bank") - 1)) == F.col("bank")).alias("luhn"), F.col("mail").rlike("^[a-z]+@example").alias("mail"), F.col("ip").rlike(r"^\\d+(\\.\\d+){3}$").alias("ip"),
+        F.col("mac").rlike("^([0-9a-f]{2}:){5}[0-9a-f]{2}$").alias("mac"), F.col("uuid").rlike("^[0-9a-f-]{36}$").alias("uuid"), F.col("p").rlike(r"^[a-c]{2}(x|y)\\d+$").alias("pattern"), (I.is_ulid("ulid") & (I.ulid_parts("ulid")["millis"] == 1_700_000_000_000)).alias("ulid"),
+    )
 
 
 @query("SELECT * FROM (VALUES ('id: null', 0), ('age: null', 0), ('age: below 18', 0), ('age: above 90', 0), ('name: null', 0), ('code: null', 0), ('state: null', 0), ('state: value', 0)) t(rule, n)")

@@ -192,6 +192,8 @@ class Table:
     parts: list[str]
     alias: str = ""
     sample: tuple[str, str] | None = None  # (percent, seed)
+    partition: Any = None  # names of partitions, or (key, value) pairs
+    travel: tuple[str, Any] | None = None  # (TIMESTAMP or VERSION, when)
 
 
 @dataclass
@@ -246,11 +248,39 @@ class Pivoted:
     alias: str = ""
 
 
+@dataclass
+class JsonRows:
+    """JSON_TABLE and OPENJSON: a row for each item at a path; columns: (name, type or ORDINALITY, path)."""
+
+    value: Any
+    path: str
+    fields: list[tuple[str, str, str]]
+    alias: str = ""
+
+
+@dataclass
+class Matched:
+    """MATCH_RECOGNIZE."""
+
+    source: Any
+    partition: list[Any]
+    order: list[Any]
+    measures: list[tuple[Any, str]]
+    all_rows: bool
+    skip: str
+    pattern: str
+    define: list[tuple[str, Any]]
+    alias: str = ""
+    within: Any = None
+
+
 @dataclass
 class Cte:
     name: str
     columns: list[str]
     query: Any
+    search: tuple[str, list[str], str] | None = None  # (DEPTH or BREADTH, keys, column)
+    cycle: tuple[list[str], str, str] | None = None  # (columns, flag, path)
 
 
 @dataclass
@@ -282,23 +312,57 @@ class Select:
     rows: list[Row] | None = None  # VALUES
     nested: bool = False  # was in parentheses
     hints: str = ""
+    siblings: bool = False  # ORDER SIBLINGS BY
+    distinct_sets: bool = False  # GROUP BY DISTINCT
+    preferring: list[tuple[str, Any]] = field(default_factory=list)  # (HIGH or LOW, value)
+    shape: str = ""  # FOR JSON
 
 
 @dataclass
 class Statement:
     """Any statement that isn't a query: the parts that governance needs."""
 
-    kind: str  # INSERT, UPDATE, DELETE, MERGE, DDL, SET, OTHER
+    kind: str  # INSERT, UPDATE, DELETE, MERGE, INSERT ALL, LOAD, COPY, DDL, SET, OTHER
     text: str
     target: list[str] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
+    source: Any = None
     assignments: list[tuple[Any, Any]] = field(default_factory=list)
     where: Any = None
     query: Any = None
-    source: Any = None
     rows: list[Row] = field(default_factory=list)
     on: Any = None
     verb: str = ""
+    overwrite: bool = False
+    conflict: Any = None  # Conflict
+    actions: list[Any] = field(default_factory=list)  # of MERGE and INSERT ALL
+    order: list[Any] = field(default_factory=list)
+    limit: Any = None
+    returning: list[Any] = field(default_factory=list)
+    options: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class Conflict:
+    """What an insert does with keys that are there. keys: empty if the table's own; assignments: none to keep the row there."""
+
+    keys: list[str] = field(default_factory=list)
+    assignments: list[tuple[Any, Any]] = field(default_factory=list)
+    replace: bool = False
+    where: Any = None
+
+
+@dataclass
+class Action:
+    """A WHEN branch of MERGE (kind: MATCHED, NOT MATCHED, BY SOURCE) or of INSERT ALL and FIRST (kind: INTO)."""
+
+    kind: str
+    when: Any = None
+    delete: bool = False
+    assignments: list[tuple[Any, Any]] = field(default_factory=list)
+    columns: list[str] = field(default_factory=list)
+    values: list[Any] = field(default_factory=list)
+    target: list[str] = field(default_factory=list)
 
 
 def children(node: Any) -> Iterator[Any]:

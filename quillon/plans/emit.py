@@ -69,7 +69,7 @@ class Emitter:
     def _e(self, x: Any) -> tuple[str, int]:
         """(text, binding level); 9 binds tightest."""
         match x:
-            case str():
+            case str():  # Spark SQL that is text already
                 return x, 9
             case A.Lit(kind, value, kind2):
                 if kind == "string":
@@ -185,6 +185,12 @@ class Emitter:
         if op in ("@>", "<@"):
             a, b = (l, r) if op == "@>" else (r, l)
             return f"size(array_except({self.e(b)}, {self.e(a)})) = 0", 3
+        if op == "?":
+            return f"coalesce(array_contains(json_object_keys({self.e(l)}), {self.e(r)}), FALSE)", 9
+        if op == "?|":
+            return f"coalesce(arrays_overlap(json_object_keys({self.e(l)}), {self.e(r)}), FALSE)", 9
+        if op == "?&":
+            return f"coalesce(size(array_except({self.e(r)}, json_object_keys({self.e(l)}))) = 0, FALSE)", 9
         if op == "&&":
             return f"arrays_overlap({self.e(l)}, {self.e(r)})", 9
         if op in ("->", "->>", "#>", "#>>"):
@@ -237,12 +243,16 @@ class Emitter:
             return f"{text} NULLS {'FIRST' if k.desc else 'LAST'}"
         return text
 
-    def window(self, w: A.Window, named: dict[str, A.Window]) -> str:
+    def resolved(self, w: A.Window, named: dict[str, A.Window]) -> A.Window:
         while w.base:
             base = next((v for k, v in named.items() if k.lower() == w.base.lower()), None)
             if base is None:
                 raise SqlError(f"unknown window {w.base}")
             w = A.Window(base.base, w.partition or base.partition, w.order or base.order, w.frame or base.frame)
+        return w
+
+    def window(self, w: A.Window, named: dict[str, A.Window]) -> str:
+        w = self.resolved(w, named)
         parts = []
         if w.partition:
             parts.append(f"PARTITION BY {self.es(w.partition)}")
@@ -263,6 +273,12 @@ class Emitter:
                 f = c.name.upper()
                 return {"MAX": f"array_max({best}).v", "MIN": f"array_min(transform({best}, x -> x.v))"}.get(f, f"aggregate({best}, CAST(0 AS DOUBLE), (a, x) -> a + {'1' if f == 'COUNT' else 'x.v'})")
             raise SqlError("KEEP over several keys has no lowering")
+        if c.over is not None:
+            w = self.resolved(c.over, self.windows)
+            if m := re.search(r"\s+EXCLUDE\s+(NO\s+OTHERS|CURRENT\s+ROW|GROUP|TIES)\s*$", w.frame, re.I):
+                what = " ".join(m[1].upper().split())
+                w = replace(w, frame=w.frame[: m.start()])
+                return self.call(replace(c, over=w)) if what == "NO OTHERS" else self.excluding(c, w, what)
         out = rewrite_call(self, c)
         if isinstance(out, A.Call):
             args = self.es(out.args)
@@ -279,6 +295,28 @@ class Emitter:
             head += f" OVER ({self.window(c.over, self.windows)})"
         return head
 
+    def excluding(self, c: A.Call, w: A.Window, what: str) -> str:
+        """COUNT, SUM and AVG over a frame less the current row, its peers, or its other peers: taken off the frame's own sums."""
+        f, plain = c.name.upper(), replace(c, over=None, name="count", nulls="")
+        if f not in ("COUNT", "SUM", "AVG") or c.distinct:
+            raise SqlError(f"{c.name} over a frame with EXCLUDE has no lowering")
+        outside = re.search(r"BETWEEN\s+[1-9]\d*\s+FOLLOWING|AND\s+[1-9]\d*\s+PRECEDING", w.frame, re.I)
+        if outside and (what == "CURRENT ROW" or w.frame.upper().startswith("ROWS") is False):
+            return self.call(replace(c, over=w))
+        if what != "CURRENT ROW" and w.frame.upper().startswith("ROWS"):
+            raise SqlError(f"EXCLUDE {what} in a frame of ROWS has no lowering")
+        x = c.args[0]
+        star = isinstance(x, A.Star)
+        one = "1" if star else f"CASE WHEN {self.e(x, 4)} IS NOT NULL THEN 1 ELSE 0 END"
+        peers = replace(w, frame="RANGE BETWEEN CURRENT ROW AND CURRENT ROW")
+        n_peers, s_peers = self.call(replace(plain, over=peers)), "" if star else self.call(replace(plain, name="sum", over=peers))
+        off = {"CURRENT ROW": (one, "" if star else f"coalesce({self.e(x)}, 0)"), "GROUP": (n_peers, f"coalesce({s_peers}, 0)"), "TIES": (f"({n_peers} - {one})", "" if star else f"(coalesce({s_peers}, 0) - coalesce({self.e(x)}, 0))")}[what]
+        n = f"({self.call(replace(plain, over=w))} - {off[0]})"
+        if f == "COUNT":
+            return n
+        total = f"({self.call(replace(plain, name='sum', over=w))} - {off[1]})"
+        return f"CASE WHEN {n} = 0 THEN NULL ELSE {total}{f' / {n}' if f == 'AVG' else ''} END"
+
     # --- sources
 
     windows: dict[str, A.Window] = {}
@@ -289,6 +327,12 @@ class Emitter:
                 if parts[-1].upper() == "DUAL" and len(parts) == 1:
                     return f"(SELECT 1 AS dummy) AS {quoted(alias or 'dual')}"
                 out = ".".join(map(quoted, parts))
+                if s.travel:
+                    out += f" {s.travel[0]} AS OF {self.e(s.travel[1])}"
+                if s.partition:
+                    tests = [f"{quoted(p[0])} = {self.e(p[1])}" if isinstance(p, tuple) else self.partition_test(parts[-1], p) for p in s.partition]
+                    out = f"(SELECT * FROM {out} WHERE {(' AND ' if isinstance(s.partition[0], tuple) else ' OR ').join(f'({t})' for t in tests)})"
+                    return out + f" AS {quoted(alias or parts[-1])}"
                 if sample:
                     out += f" TABLESAMPLE ({sample[0]} PERCENT)" + (f" REPEATABLE ({sample[1]})" if sample[1] else "")
                 return out + (f" AS {quoted(alias)}" if alias else "")
@@ -316,8 +360,27 @@ class Emitter:
                 return f"{self.source(source)} {kind} ({body})" + (f" AS {quoted(alias)}" if alias else "")
             case A.Join():
                 return self.join(s)
+            case A.JsonRows(value, path, fields, alias):
+                text = self.e(value)
+                list_ = path.removesuffix("[*]")
+                found = text if list_ == "$" else f"get_json_object({text}, {string(list_)})"
+                # An object where an array may stand is one row.
+                items = f"CASE WHEN left(ltrim({found}), 1) = '[' THEN from_json({found}, 'array<string>') WHEN {found} IS NOT NULL THEN array({found}) END"
+                cols = [f"CAST(pos + 1 AS BIGINT) AS {quoted(n)}" if k == "ORDINALITY" else f"TRY_CAST(get_json_object(col, {string(p.removeprefix('strict ').removeprefix('lax '))}) AS {spark_type(k)}) AS {quoted(n)}" for n, k, p in fields]
+                return f"LATERAL (SELECT {', '.join(cols)} FROM posexplode({items}))" + self.named(alias or self.fresh("j"), [])
+            case A.Matched():
+                raise SqlError("MATCH_RECOGNIZE runs through Engine.sql, which makes its rows by operators")
         raise SqlError(f"cannot write source {type(s).__name__}")
 
+    #: What the names of partitions stand for: (table, partition) in lower case -> a condition in Spark SQL.
+    partitions: dict[tuple[str, str], str] = {}
+
+    def partition_test(self, table: str, name: str) -> str:
+        test = self.partitions.get((table.lower(), name.lower()))
+        if test is None:
+            raise SqlError(f"no condition is known for partition {name} of {table}")
+        return test
+
     def named(self, alias: str, columns: list[str]) -> str:
         if not alias:
             return ""
@@ -350,6 +413,7 @@ class Emitter:
         out = ""
         if q.ctes:
             recursive = q.recursive or any(refers(c.query, c.name) for c in q.ctes)
+            q.ctes = [ordered_walk(self, c) if c.search or c.cycle else c for c in q.ctes]
             out = f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"{quoted(c.name)}{'(' + ', '.join(map(quoted, c.columns)) + ')' if c.columns else ''} AS ({self.query(c.query)})" for c in q.ctes) + " "
         out += self.block(q)
         for op, arm in q.sets:
@@ -390,8 +454,22 @@ class Emitter:
 def lower(em: Emitter, q: A.Select) -> A.Select:
     """The query without what Spark lacks, as far as this block goes."""
     q = replace(q)
+    if q.shape:
+        if q.shape != "JSON":
+            raise SqlError(f"FOR {q.shape} has no lowering")
+        inner = replace(q, shape="", ctes=[])
+        rows = A.Derived(A.Select(items=[A.Column(A.Call("to_json", [A.Call("collect_list", [A.Call("struct", [A.Star()])])]), "json")], source=A.Derived(inner, em.fresh("q"))), em.fresh("q"))
+        q = A.Select(ctes=q.ctes, recursive=q.recursive, items=[A.Star()], source=rows)
     if q.connect is not None:
         q = connect_by(em, q)
+    elif q.siblings:
+        raise SqlError("ORDER SIBLINGS BY without CONNECT BY")
+    if q.distinct_sets:
+        q = distinct_sets(em, q)
+    if q.preferring:
+        q = preferred(em, q)
+    if any(isinstance(x, A.Call) and x.over is not None and em.resolved(x.over, q.windows).frame.upper().startswith("GROUPS") for i in q.items for x in A.walk(i)):
+        q = group_frames(em, q)
     if em.d.name in ("oracle", "oracle12", "dameng", "sqlserver", "db2"):
         q = old_outer_joins(q)
         q = rownum(q)
@@ -432,6 +510,110 @@ def lower(em: Emitter, q: A.Select) -> A.Select:
     return q
 
 
+def distinct_sets(em: Emitter, q: A.Select) -> A.Select:
+    """GROUP BY DISTINCT: the grouping sets of all elements together, each once."""
+    def sets(x: Any) -> list[list[Any]]:
+        items = lambda v: v.items if isinstance(v, A.Row) else [v]
+        name = x.name.upper() if isinstance(x, A.Call) else ""
+        if name == "GROUPING SETS":
+            return [s for v in x.args for s in (sets(v) if isinstance(v, A.Call) and v.name.upper() in ("ROLLUP", "CUBE") else [items(v)])]
+        if name == "ROLLUP":
+            return [[k for v in x.args[:n] for k in items(v)] for n in range(len(x.args), -1, -1)]
+        if name == "CUBE":
+            return [[k for v in some for k in items(v)] for n in range(len(x.args), -1, -1) for some in itertools.combinations(x.args, n)]
+        return [[x]]
+
+    group = [A.Call(q.grouping, q.group)] if q.grouping in ("ROLLUP", "CUBE") else q.group
+    if not any(isinstance(x, A.Call) and x.name.upper() in ("GROUPING SETS", "ROLLUP", "CUBE") for x in group):
+        return replace(q, distinct_sets=False)
+    found: dict[tuple[str, ...], list[Any]] = {}
+    for some in itertools.product(*map(sets, group)):
+        keys = {em.e(k): k for part in some for k in part}
+        found.setdefault(tuple(sorted(keys)), list(keys.values()))
+    return replace(q, distinct_sets=False, grouping="", group=[A.Call("GROUPING SETS", [A.Row(v) for v in found.values()])])
+
+
+def preferred(em: Emitter, q: A.Select) -> A.Select:
+    """PREFERRING HIGH a PLUS LOW b: the rows that no other row of the same block is at least as good as in all and better in one."""
+    if not isinstance(q.source, A.Table):
+        raise SqlError("PREFERRING over more than a table: give it a view")
+    own, other = q.source.alias or q.source.parts[-1], em.fresh("o")
+
+    def of(x: Any, alias: str) -> Any:
+        return A.rewrite(x, lambda n: A.Name([alias, n.parts[-1]]) if isinstance(n, A.Name) else n)
+
+    tests, better = [of(c, other) for c in conjuncts(q.where)], None
+    for side, v in q.preferring:
+        a, b = of(v, other), of(v, own)
+        tests.append(A.Bin(">=" if side == "HIGH" else "<=", a, b))
+        strict = A.Bin(">" if side == "HIGH" else "<", a, b)
+        better = strict if better is None else A.Bin("OR", better, strict)
+    rows = A.Select(items=[A.Column(A.Lit("number", "1"))], source=replace(q.source, alias=other), where=joined([*tests, better]))
+    return replace(q, preferring=[], where=_and(q.where, A.Un("NOT", A.Exists(rows))))
+
+
+def group_frames(em: Emitter, q: A.Select) -> A.Select:
+    """GROUPS frames count peer groups: a dense rank below, and a RANGE frame over it."""
+    sources = [x for x in A.walk(q.source) if isinstance(x, A.Table | A.Derived)]
+    if q.group or q.distinct or len(sources) != 1 or q.source is not sources[0]:
+        raise SqlError("a frame of GROUPS needs a block over one table or query")
+    extra: list[A.Column] = []
+
+    def change(x: Any) -> Any:
+        if isinstance(x, A.Call) and x.over is not None:
+            w = em.resolved(x.over, q.windows)
+            if w.frame.upper().startswith("GROUPS"):
+                name = em.fresh("g")
+                extra.append(A.Column(A.Call("dense_rank", over=A.Window(partition=w.partition, order=w.order)), name))
+                return replace(x, over=A.Window(partition=w.partition, order=[A.Key(A.Name([name]))], frame="RANGE" + w.frame[6:]))
+        return x
+
+    items = A.rewrite(q.items, change)
+    hidden = [c.alias for c in extra]
+    items = [replace(i, excluded=[*i.excluded, *hidden]) if isinstance(i, A.Star) else i for i in items]
+    alias = getattr(q.source, "alias", "") or (q.source.parts[-1] if isinstance(q.source, A.Table) else em.fresh("q"))
+    return replace(q, items=items, where=None, source=A.Derived(A.Select(items=[A.Star(), *extra], source=q.source, where=q.where), alias))
+
+
+def ordered_walk(em: Emitter, c: A.Cte) -> A.Cte:
+    """SEARCH and CYCLE of a recursive query, as columns that it carries along."""
+    if len(c.query.sets) != 1 or c.query.sets[0][0] != "UNION ALL":
+        raise SqlError("SEARCH and CYCLE need one UNION ALL")
+    first, (op, more) = replace(c.query, sets=[], ctes=[]), c.query.sets[0]
+    names = c.columns or [i.alias or (i.value.parts[-1] if isinstance(i.value, A.Name) else "") for i in first.items]
+    place = {n.lower(): k for k, n in enumerate(names)}
+    own = next((t.alias or t.parts[-1] for t in A.walk(more.source) if isinstance(t, A.Table) and t.parts[-1].lower() == c.name.lower()), None)
+    if own is None or any(isinstance(i, A.Star) for i in [*first.items, *more.items]):
+        raise SqlError("SEARCH and CYCLE need named columns and a recursive arm")
+
+    def values(arm: A.Select, keys: list[str]) -> str:
+        for k in keys:
+            if k.lower() not in place:
+                raise SqlError(f"{k} isn't a column of {c.name}")
+        return ", ".join(f"'k{j}', {em.e(arm.items[place[k.lower()]].value)}" for j, k in enumerate(keys))
+
+    added: list[str] = []
+    head, tail, where = list(first.items), list(more.items), more.where
+    if c.search:
+        kind, keys, name = c.search
+        if kind == "DEPTH":
+            head.append(A.Column(f"array(named_struct({values(first, keys)}))", name))
+            tail.append(A.Column(f"array_append({quoted(own)}.{quoted(name)}, named_struct({values(more, keys)}))", name))
+        else:
+            head.append(A.Column(f"named_struct('depth', 1, {values(first, keys)})", name))
+            tail.append(A.Column(f"named_struct('depth', {quoted(own)}.{quoted(name)}.depth + 1, {values(more, keys)})", name))
+        added.append(name)
+    if c.cycle:
+        keys, flag, path = c.cycle
+        path = path or em.fresh("path")
+        head += [A.Column("FALSE", flag), A.Column(f"array(named_struct({values(first, keys)}))", path)]
+        seen = f"{quoted(own)}.{quoted(path)}"
+        tail += [A.Column(f"array_contains({seen}, named_struct({values(more, keys)}))", flag), A.Column(f"array_append({seen}, named_struct({values(more, keys)}))", path)]
+        where = _and(where, A.Un("NOT", A.Name([own, flag])))
+        added += [flag, path]
+    return A.Cte(c.name, [*names, *added], replace(first, items=head, sets=[(op, replace(more, items=tail, where=where))], ctes=c.query.ctes))
+
+
 def _and(a: Any, b: Any) -> Any:
     return b if a is None else a if b is None else A.Bin("AND", a, b)
 
@@ -563,6 +745,15 @@ def connect_by(em: Emitter, q: A.Select) -> A.Select:
         raise SqlError("CONNECT BY without PRIOR")
     mark = f"CAST({quoted(key)} AS STRING)"
     src = em.source(replace(q.source, alias=""))
+    siblings: list[str] = []
+    if q.siblings:  # a path of places among siblings: comparing such paths is the walk's own order
+        keys = ", ".join(em.key(replace(k, value=A.rewrite(k.value, bare))) for k in q.order)
+        side_of = next((c for c in conjuncts(q.connect) if isinstance(c, A.Bin) and c.op == "=" and any(isinstance(v, A.Un) and v.op == "PRIOR" for v in (c.left, c.right))), None)
+        if side_of is None:
+            raise SqlError("ORDER SIBLINGS BY needs PRIOR a = b")
+        parent = em.e(A.rewrite(side_of.right if isinstance(side_of.left, A.Un) else side_of.left, bare))
+        src = f"(SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY {keys}) AS __sibling FROM {src})"
+        siblings = ["__sibling", "__siblings"]
     extra = "".join(f", {em.e(A.rewrite(A.Name([r.split('.')[-1]]), bare))} AS {n}" for r, n in roots.items())
     start = f" WHERE {em.e(A.rewrite(q.start, bare))}" if q.start is not None else ""
     more = "".join(f", p.{n}" for n in roots.values())
@@ -572,6 +763,9 @@ def connect_by(em: Emitter, q: A.Select) -> A.Select:
     for n, arg in carried.values():
         extra += f", array(CAST({em.e(A.rewrite(arg, bare))} AS STRING)) AS {n}"
         more += f", array_append(p.{n}, CAST({em.e(A.rewrite(arg, lambda x: A.Name(['c', x.parts[-1]]) if isinstance(x, A.Name) else x))} AS STRING))"
+    if siblings:
+        extra += f", array(row_number() OVER (ORDER BY {keys})) AS __siblings"
+        more += ", array_append(p.__siblings, c.__sibling)"
     body = f"SELECT *, 1 AS {level}, array({mark}) AS {path}{extra} FROM {src}{start} UNION ALL SELECT c.*, p.{level} + 1, array_append(p.{path}, CAST(c.{quoted(key)} AS STRING)){more} FROM {src} c JOIN {walk_} p ON {em.e(cond)}{guard}"
     def out(x: Any) -> Any:
         if isinstance(x, A.Un) and x.op == "CONNECT_BY_ROOT":
@@ -582,9 +776,10 @@ def connect_by(em: Emitter, q: A.Select) -> A.Select:
             return A.Call("concat", [x.args[1], A.Call("array_join", [A.Name([carried[em.e(x.args[0])][0]]), x.args[1]])])
         return x
 
-    hide = [path, *roots.values(), *(n for n, _ in carried.values()), *([level] if any(isinstance(i, A.Star) for i in q.items) else [])]
+    order = [A.Key(A.Name(["__siblings"]))] if siblings else A.rewrite(q.order, out)
+    hide = [path, *siblings, *roots.values(), *(n for n, _ in carried.values()), *([level] if any(isinstance(i, A.Star) for i in q.items) else [])]
     items = [A.Star([], hide) if isinstance(i, A.Star) else i for i in A.rewrite(q.items, out)]
-    return replace(q, ctes=[*q.ctes, A.Cte(walk_, [], RawQuery(body))], recursive=True, items=items, source=A.Table([walk_], t), where=A.rewrite(q.where, out), order=A.rewrite(q.order, out), connect=None, start=None)
+    return replace(q, ctes=[*q.ctes, A.Cte(walk_, [], RawQuery(body))], recursive=True, items=items, source=A.Table([walk_], t), where=A.rewrite(q.where, out), order=order, siblings=False, connect=None, start=None)
 
 
 class RawQuery(A.Select):
@@ -634,9 +829,45 @@ def similar(p: str) -> str:
     return "^(?:" + "".join({"%": ".*", "_": ".", ".": r"\.", "^": r"\^", "$": r"\$", "\\": "\\\\"}.get(c, c) for c in p) + ")$"
 
 
-def to_spark(tree: Any, source: str | Dialect = "ansi") -> tuple[str, list[str]]:
-    """(Spark SQL, warnings) of a query."""
+def statement(em: Emitter, s: A.Statement) -> str:
+    """The text of a statement, from its tree."""
+    name = ".".join(map(quoted, s.target))
+    sets = lambda pairs: ", ".join(f"{em.e(a)} = {em.e(b)}" if not isinstance(a, A.Star) else "*" for a, b in pairs)
+    tail = f" WHERE {em.e(s.where)}" if s.where is not None else ""
+    if s.returning or s.limit is not None or s.conflict is not None:
+        raise SqlError(f"this {s.kind} needs the state of its table: run it by Engine.sql")
+    if s.kind == "INSERT":
+        cols = f" ({', '.join(map(quoted, s.columns))})" if s.columns else ""
+        rows = em.query(s.query) if s.query is not None else f"VALUES {', '.join(em.e(r) for r in s.rows)}"
+        part = f" PARTITION ({s.options['partition']})" if "partition" in s.options else ""
+        return f"INSERT {'OVERWRITE' if s.overwrite else 'INTO'} {name}{part}{cols} {rows}"
+    if s.kind == "UPDATE":
+        if not isinstance(s.source, A.Table):
+            raise SqlError("UPDATE over a join needs the state of its table: run it by Engine.sql")
+        return f"UPDATE {em.source(s.source)} SET {sets(s.assignments)}{tail}"
+    if s.kind == "DELETE":
+        if not isinstance(s.source, A.Table):
+            raise SqlError("DELETE over a join needs the state of its table: run it by Engine.sql")
+        return f"DELETE FROM {em.source(s.source)}{tail}"
+    if s.kind == "MERGE":
+        out = f"MERGE INTO {em.source(s.source.left)} USING {em.source(s.source.right)} ON {em.e(s.on)}"
+        for a in s.actions:
+            kind = {"BY SOURCE": "NOT MATCHED BY SOURCE"}.get(a.kind, a.kind)
+            out += f" WHEN {kind}" + (f" AND {em.e(a.when)}" if a.when is not None else "") + " THEN "
+            cols = f" ({', '.join(map(quoted, a.columns))})" if a.columns else ""
+            out += "DELETE" if a.delete else f"UPDATE SET {sets(a.assignments)}" if a.assignments else f"INSERT{cols} VALUES ({em.es(a.values)})" if a.columns else "INSERT *"
+        return out
+    if s.kind == "DDL" and s.query is not None:
+        return f"{s.options['head']} {em.query(s.query)}"
+    if s.kind in ("INSERT ALL", "LOAD", "COPY"):
+        raise SqlError(f"{s.kind} needs the state of its tables: run it by Engine.sql")
+    em.warn(f"{s.kind} {s.verb} is passed on as written")
+    return s.text
+
+
+def to_spark(tree: Any, source: str | Dialect = "ansi", partitions: dict[tuple[str, str], str] | None = None) -> tuple[str, list[str]]:
+    """(Spark SQL, warnings) of a query or a statement."""
     em = Emitter(source)
-    if isinstance(tree, A.Statement):
-        return tree.text, [f"{tree.kind} {tree.verb} is passed on as written"]
-    return em.query(tree), em.warnings
+    em.partitions = partitions or {}
+    text = statement(em, tree) if isinstance(tree, A.Statement) else em.query(tree)
+    return text, em.warnings

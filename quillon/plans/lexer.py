@@ -1,9 +1,9 @@
-"""Tokens of SQL text."""
+"""Tokens of SQL text: one compiled pattern for each dialect."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from functools import cache
 
 from .dialects import Dialect
 
@@ -12,106 +12,109 @@ class SqlError(ValueError):
     pass
 
 
-@dataclass
 class Token:
-    kind: str  # word, name (quoted), string, number, op, param, hint, end
-    text: str
-    at: int
-    end: int = 0
+    """kind: word, name (quoted), string, number, hex, bits, op, param, hint, end. upper: the text of a word in capitals, of an op as it is, else empty."""
 
-    @property
-    def upper(self) -> str:
-        return self.text.upper() if self.kind == "word" else self.text if self.kind == "op" else ""
+    __slots__ = ("at", "end", "kind", "text", "upper")
+
+    def __init__(self, kind: str, text: str, at: int, end: int = 0, upper: str = ""):
+        self.kind, self.text, self.at, self.end, self.upper = kind, text, at, end, upper
+
+    def __repr__(self) -> str:
+        return f"{self.kind}:{self.text}"
 
 
 _OPS = ("<=>", "->>", "#>>", "!~*", "::", "<=", ">=", "<>", "!=", "||", "&&", "->", "#>", "@>", "<@", "~*", "!~", "<<", ">>", ":=", "(+)", "*=", "=*")
-_WORD = re.compile(r"[^\W\d][\w$#]*")
-_NUMBER = re.compile(r"0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "%": "\\%", "_": "\\_"}
+
+
+@cache
+def _pattern(d: Dialect) -> re.Pattern:
+    quotes = re.escape("'" + ('"' if d.double_is_string else ""))
+    ops = "|".join(map(re.escape, _OPS))
+    parts = [
+        ("skip", r"\s+"), ("word", r"[^\W\d][\w$#]*"), ("comment", r"--[^\n]*" + (r"|\#[^\n]*" if d.hash_comment else "")), ("block", r"/\*"), ("string", f"[{quotes}]"),
+        ("number", r"0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"), ("dollar", r"\$(?P<tag>\w*)\$"), ("quoted", f"[{re.escape(d.quotes)}]"),
+        ("json", r"\?[|&]|\?(?=\s*')" if d.name == "postgres" else r"(?!)"), ("op", ops + r"|@@(?!\w)"), ("param", r"[:@]{1,2}\w+|\?"), ("one", r"."),
+    ]
+    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in parts), re.S)
+
+
+def _until(sql: str, close: str, start: int, at: int, what: str) -> int:
+    j = sql.find(close, start)
+    if j < 0:
+        raise SqlError(f"{what} that starts at {at} isn't closed")
+    return j
+
+
+def _string(sql: str, at: int, backslash: bool) -> tuple[str, int]:
+    """(text, place behind) of the string whose quote is at `at`."""
+    quote, i, out = sql[at], at + 1, []
+    while True:
+        j = _until(sql, quote, i, at, "a string")
+        b = sql.find("\\", i, j) if backslash else -1
+        if b >= 0:
+            out += [sql[i:b], _ESCAPES.get(sql[b + 1 : b + 2], sql[b + 1 : b + 2])]
+            i = b + 2
+            continue
+        out.append(sql[i:j])
+        if sql[j + 1 : j + 2] != quote:
+            return "".join(out), j + 1
+        out.append(quote)
+        i = j + 2
 
 
 def tokens(sql: str, d: Dialect) -> tuple[list[Token], list[str]]:
     """(tokens, comments). Optimizer hints are tokens; other comments are kept apart."""
     out: list[Token] = []
     comments: list[str] = []
-    i, n = 0, len(sql)
-
-    def until(close: str, start: int, what: str) -> int:
-        j = sql.find(close, start)
-        if j < 0:
-            raise SqlError(f"{what} that starts at {i} isn't closed")
-        return j
-
+    match, i, n = _pattern(d).match, 0, len(sql)
     while i < n:
-        c = sql[i]
-        if c.isspace():
-            i += 1
-            continue
-        start = i
-        if sql.startswith("--", i) or (c == "#" and d.hash_comment):
-            j = sql.find("\n", i)
-            i = n if j < 0 else j
-            comments.append(sql[start:i])
+        m = match(sql, i)
+        kind, start, i = m.lastgroup, i, m.end()
+        if kind == "skip":
             continue
-        if sql.startswith("/*", i):
-            i = until("*/", i + 2, "a comment") + 2
+        text = m[0]
+        if kind == "word":
+            upper = text.upper()
+            if len(text) == 1 and upper in "NXBE" and sql[i : i + 1] == "'":
+                j = _until(sql, "'", i + 1, start, "a string")
+                out.append(Token({"X": "hex", "B": "bits"}.get(upper, "string"), sql[i + 1 : j], start, j + 1))
+                i = j + 1
+            else:
+                out.append(Token("word", text, start, i, upper))
+        elif kind == "op" or kind == "json":
+            out.append(Token("op", text, start, i, text))
+        elif kind == "one":
+            if text in d.quotes:
+                kind = "quoted"
+            else:
+                out.append(Token("op", text, start, i, text))
+                continue
+        elif kind == "string":
+            text, i = _string(sql, start, d.backslash)
+            out.append(Token("string", text, start, i))
+        elif kind == "number" or kind == "param":
+            out.append(Token(kind, text, start, i))
+        elif kind == "comment":
+            comments.append(text)
+        elif kind == "block":
+            i = _until(sql, "*/", i, start, "a comment") + 2
             if sql.startswith("/*+", start):
                 out.append(Token("hint", sql[start + 3 : i - 2].strip(), start, i))
             else:
                 comments.append(sql[start:i])
-            continue
-        if c == "'" or (c == '"' and d.double_is_string):
-            text, i = [], i + 1
-            while True:
-                if i >= n:
-                    raise SqlError(f"a string that starts at {start} isn't closed")
-                if sql[i] == "\\" and d.backslash and i + 1 < n:
-                    text.append({"n": "\n", "t": "\t", "r": "\r", "0": "\0", "%": "\\%", "_": "\\_"}.get(sql[i + 1], sql[i + 1]))
-                    i += 2
-                elif sql[i] == c:
-                    if i + 1 < n and sql[i + 1] == c:
-                        text.append(c)
-                        i += 2
-                    else:
-                        break
-                else:
-                    text.append(sql[i])
-                    i += 1
-            i += 1
-            out.append(Token("string", "".join(text), start, i))
-            continue
-        if c in d.quotes and not (c == "[" and out and (out[-1].kind in ("name",) or out[-1].text in (")", "]"))):
-            close = "]" if c == "[" else c
-            j = until(close, i + 1, "a name")
-            out.append(Token("name", sql[i + 1 : j], start, j + 1))
-            i = j + 1
-            continue
-        if c == "$" and (m := re.compile(r"\$(\w*)\$").match(sql, i)):
-            j = until(m[0], m.end(), "a string")
-            out.append(Token("string", sql[m.end() : j], start, j + len(m[0])))
-            i = j + len(m[0])
-            continue
-        if (m := _NUMBER.match(sql, i)) and (c.isdigit() or c == "." and m[0] != "."):
-            i = m.end()
-            out.append(Token("number", m[0], start, i))
-            continue
-        if m := _WORD.match(sql, i):
-            i = m.end()
-            if m[0].upper() in ("N", "X", "B", "E") and i < n and sql[i] == "'":
-                j = until("'", i + 1, "a string")
-                kind = {"X": "hex", "B": "bits"}.get(m[0].upper(), "string")
-                out.append(Token(kind, sql[i + 1 : j], start, j + 1))
-                i = j + 1
+        elif kind == "dollar":
+            j = _until(sql, text, i, start, "a string")
+            out.append(Token("string", sql[i:j], start, j + len(text)))
+            i = j + len(text)
+        if kind == "quoted":
+            if text == "[" and out and (out[-1].kind == "name" or out[-1].text in (")", "]")):
+                out.append(Token("op", "[", start, i, "["))
                 continue
-            out.append(Token("word", m[0], start, i))
-            continue
-        op = next((o for o in _OPS if sql.startswith(o, i)), c)
-        if op in (":", "@") or c == "?":
-            m = re.compile(r"[:@]{1,2}\w+|\?").match(sql, i)
-            if m and not (c == "?" and False):
-                i = m.end()
-                out.append(Token("param", m[0], start, i))
-                continue
-        i += len(op)
-        out.append(Token("op", op, start, i))
+            close = "]" if text == "[" else text
+            j = _until(sql, close, i, start, "a name")
+            out.append(Token("name", sql[i:j], start, j + 1))
+            i = j + 1
     out.append(Token("end", "", n, n))
     return out, comments

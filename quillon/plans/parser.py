@@ -12,7 +12,7 @@ from .lexer import SqlError, Token, tokens
 STOP = set(
     "FROM WHERE GROUP HAVING ORDER LIMIT OFFSET FETCH UNION INTERSECT EXCEPT MINUS ON USING JOIN INNER LEFT RIGHT FULL CROSS NATURAL OUTER WINDOW QUALIFY PREWHERE AND OR XOR NOT IN IS LIKE ILIKE RLIKE REGEXP "
     "SIMILAR BETWEEN THEN ELSE END WHEN AS ASC DESC NULLS SET VALUES LATERAL STRAIGHT_JOIN START CONNECT FOR LOCK SELECT WITH RETURNING OVERLAPS SEMI ANTI ASOF GLOBAL TABLESAMPLE SAMPLE PIVOT UNPIVOT INTO DIV MOD COLLATE "
-    "ISNULL NOTNULL ESCAPE SEPARATOR KEEP OVER FILTER WITHIN CLUSTER DISTRIBUTE SORT SETTINGS OPTION EMIT UNPIVOT MEMBER DO MATCHED".split()
+    "ISNULL NOTNULL ESCAPE SEPARATOR KEEP OVER FILTER WITHIN CLUSTER DISTRIBUTE SORT SETTINGS OPTION EMIT UNPIVOT MEMBER DO MATCHED PREFERRING MATCH_RECOGNIZE VERSIONS SEARCH CYCLE".split()
 )
 UNITS = set("MICROSECOND MILLISECOND SECOND MINUTE HOUR DAY WEEK MONTH QUARTER YEAR SECONDS MINUTES HOURS DAYS WEEKS MONTHS QUARTERS YEARS".split())
 COMPARE = {"=", "<>", "!=", "<", ">", "<=", ">=", "<=>"}
@@ -22,6 +22,7 @@ class Parser:
     def __init__(self, sql: str, d: str | Dialect = "ansi"):
         self.sql, self.d = sql, dialect(d)
         self.toks, self.comments = tokens(sql, self.d)
+        self.last = len(self.toks) - 1
         self.i = 0
 
     # --- cursor
@@ -31,13 +32,18 @@ class Parser:
         return self.toks[self.i]
 
     def peek(self, k: int = 1) -> Token:
-        return self.toks[min(self.i + k, len(self.toks) - 1)]
+        return self.toks[min(self.i + k, self.last)]
 
-    def at(self, *words: str) -> bool:
-        return all(self.peek(k).upper == w for k, w in enumerate(words))
+    def at(self, word: str, *more: str) -> bool:
+        if self.toks[self.i].upper != word:
+            return False
+        for k, w in enumerate(more, self.i + 1):
+            if k > self.last or self.toks[k].upper != w:
+                return False
+        return True
 
     def eat(self, *words: str) -> bool:
-        if self.at(*words):
+        if self.toks[self.i].upper == words[0] and (len(words) == 1 or self.at(*words)):
             self.i += len(words)
             return True
         return False
@@ -53,7 +59,7 @@ class Parser:
         return ""
 
     def name(self) -> str:
-        if self.t.kind not in ("word", "name") and not (self.t.kind == "string" and self.d.double_is_string is False and False):
+        if self.t.kind not in ("word", "name"):
             raise SqlError(f"expected a name at {self.t.at}, found {self.t.text or 'the end'!r}")
         self.i += 1
         return self.toks[self.i - 1].text
@@ -86,6 +92,13 @@ class Parser:
             self.i += 1
         return self.sql[start : self.toks[self.i - 1].at].strip()
 
+    def value(self) -> str:
+        """The text of a string or a word."""
+        if self.t.kind not in ("string", "word", "name", "number"):
+            raise SqlError(f"expected a value at {self.t.at}, found {self.t.text or 'the end'!r}")
+        self.i += 1
+        return self.toks[self.i - 1].text
+
     # --- queries
 
     def query(self) -> A.Select:
@@ -102,7 +115,23 @@ class Parser:
         cols = self.in_parens(lambda: self.listed(self.name)) if self.at("(") else []
         self.need("AS")
         self.eat("NOT") and self.need("MATERIALIZED") or self.eat("MATERIALIZED")
-        return A.Cte(name, cols, self.in_parens(self.query))
+        out = A.Cte(name, cols, self.in_parens(self.query))
+        if self.eat("SEARCH"):
+            kind = self.one_of("DEPTH", "BREADTH")
+            self.need("FIRST", "BY")
+            keys = self.listed(self.name)
+            self.need("SET")
+            out.search = (kind, keys, self.name())
+        if self.eat("CYCLE"):
+            keys = self.listed(self.name)
+            self.need("SET")
+            flag = self.name()
+            if self.eat("TO"):
+                self.value()
+                self.need("DEFAULT")
+                self.value()
+            out.cycle = (keys, flag, self.name() if self.eat("USING") else "")
+        return out
 
     def arm(self) -> A.Select:
         if self.eat("("):
@@ -135,7 +164,9 @@ class Parser:
 
     def tail(self, q: A.Select) -> None:
         while True:
-            if self.eat("ORDER", "SIBLINGS", "BY") or self.eat("ORDER", "BY"):
+            if self.eat("ORDER", "SIBLINGS", "BY"):
+                q.order, q.siblings = self.listed(self.key), True
+            elif self.eat("ORDER", "BY"):
                 q.order = self.listed(self.key)
             elif self.eat("LIMIT"):
                 if self.eat("ALL"):
@@ -162,6 +193,10 @@ class Parser:
             elif self.at("FOR") and self.peek().upper in ("UPDATE", "SHARE"):
                 q.locked, self.i = True, self.i + 2
                 self.eat("NOWAIT") or self.eat("SKIP", "LOCKED")
+            elif self.at("FOR", "JSON") or self.at("FOR", "XML"):
+                q.shape, self.i = self.peek().upper, self.i + 2
+                while self.t.kind != "end" and self.t.text not in (")", ";"):
+                    self.i += 1
             elif self.eat("LOCK", "IN", "SHARE", "MODE"):
                 q.locked = True
             elif self.eat("WITH", "UR") or self.eat("EMIT", "CHANGES"):
@@ -227,6 +262,10 @@ class Parser:
                 q.having = self.expr()
             elif self.eat("QUALIFY"):
                 q.qualify = self.expr()
+            elif self.eat("PREFERRING"):
+                while side := self.one_of("HIGH", "LOW"):
+                    q.preferring.append((side, self.bits()))
+                    self.eat("PLUS") or self.eat("PRIOR", "TO")
             elif self.eat("WINDOW"):
                 for name, w in self.listed(lambda: (self.name(), (self.need("AS"), self.in_parens(self.window))[1])):
                     q.windows[name] = w
@@ -234,7 +273,8 @@ class Parser:
                 return q
 
     def group(self, q: A.Select) -> None:
-        self.eat("DISTINCT")
+        q.distinct_sets = self.eat("DISTINCT")
+        self.eat("ALL")
         if self.at("(", ")"):
             self.i += 2
             q.grouping = "ALL"
@@ -378,6 +418,8 @@ class Parser:
             if out.alias and self.at("("):
                 out.columns = self.in_parens(lambda: self.listed(self.name))
             return out
+        if self.at("JSON_TABLE", "(") or self.at("OPENJSON", "("):
+            return self.json_rows(self.at("JSON_TABLE"))
         if self.at("TABLE", "("):
             self.i += 1
             self.need("(")
@@ -387,8 +429,12 @@ class Parser:
         if self.at("UNNEST", "(") or self.peek().text == "(" and self.t.kind == "word":
             return self.after_table(self.called(self.primary(), lateral))
         out = A.Table(self.names())
-        if self.one_of("PARTITION"):
-            self.raw_parens()
+        if self.at("PARTITION", "("):
+            self.i += 1
+            out.partition = self.in_parens(lambda: self.listed(self.partition))
+        elif self.eat("FORCE", "PARTITION"):
+            out.partition = [self.value()]
+        self.travel(out)
         if self.eat("TABLESAMPLE") or self.eat("SAMPLE"):
             self.one_of("SYSTEM", "BERNOULLI", "BLOCK")
             percent = self.raw_parens().split()[0]
@@ -397,6 +443,7 @@ class Parser:
         if self.at("FINAL"):
             self.i += 1
         out.alias = self.alias()
+        self.travel(out)
         while self.t.upper in ("USE", "FORCE", "IGNORE") and self.peek().upper in ("INDEX", "KEY"):
             self.i += 2
             self.raw_parens()
@@ -405,6 +452,75 @@ class Parser:
             self.raw_parens()
         return self.after_table(out)
 
+    def partition(self) -> Any:
+        name = self.value()
+        return (name, self.expr()) if self.eat("=") else name
+
+    def travel(self, out: A.Table) -> None:
+        """FOR SYSTEM_TIME AS OF x, AS OF TIMESTAMP x, TIMESTAMP AS OF x, AS OF SCN n, VERSION AS OF n."""
+        if self.eat("FOR", "SYSTEM_TIME", "AS", "OF") or self.eat("FOR", "TIMESTAMP", "AS", "OF") or self.eat("AS", "OF", "TIMESTAMP") or self.eat("TIMESTAMP", "AS", "OF"):
+            out.travel = ("TIMESTAMP", self.bits())
+        elif self.eat("FOR", "VERSION", "AS", "OF") or self.eat("AS", "OF", "SCN") or self.eat("VERSION", "AS", "OF"):
+            out.travel = ("VERSION", self.bits())
+        elif self.at("FOR", "SYSTEM_TIME") or self.at("VERSIONS", "BETWEEN"):
+            raise SqlError("ranges of versions need a table format that keeps them as rows")
+
+    def json_rows(self, table: bool) -> A.JsonRows:
+        """JSON_TABLE(x, path COLUMNS (…)) and OPENJSON(x [, path]) WITH (…)."""
+        self.i += 1
+        self.need("(")
+        value, path = self.expr(), "$"
+        if self.eat(","):
+            path = self.value()
+
+        def one() -> tuple[str, str, str]:
+            name = self.name()
+            if self.eat("FOR", "ORDINALITY"):
+                return name, "ORDINALITY", ""
+            kind = self.type()
+            at = self.value() if self.eat("PATH") or self.t.kind == "string" else f"$.{name}"
+            while self.t.kind != "end" and self.t.text not in (",", ")"):  # ON EMPTY, ON ERROR, AS JSON: null and text as they are
+                self.i += 1
+            return name, kind, at
+
+        if table:
+            self.need("COLUMNS")
+            fields = self.in_parens(lambda: self.listed(one))
+            self.need(")")
+        else:
+            self.need(")")
+            self.need("WITH")
+            fields = self.in_parens(lambda: self.listed(one))
+        return A.JsonRows(value, path, fields, self.alias())
+
+    def matched(self, source: Any) -> A.Matched:
+        self.need("MATCH_RECOGNIZE")
+        self.need("(")
+        out = A.Matched(source, [], [], [], False, "PAST LAST ROW", "", [])
+        if self.eat("PARTITION", "BY"):
+            out.partition = self.listed(self.expr)
+        if self.eat("ORDER", "BY"):
+            out.order = self.listed(self.key)
+        if self.eat("MEASURES"):
+            out.measures = self.listed(lambda: ((self.one_of("FINAL", "RUNNING"), self.expr())[1], (self.need("AS"), self.name())[1]))
+        if self.eat("ALL", "ROWS", "PER", "MATCH"):
+            out.all_rows = True
+        else:
+            self.eat("ONE", "ROW", "PER", "MATCH")
+        if self.eat("AFTER", "MATCH", "SKIP"):
+            out.skip = "TO NEXT ROW" if self.eat("TO", "NEXT", "ROW") else "PAST LAST ROW" if self.eat("PAST", "LAST", "ROW") else ""
+            if not out.skip:
+                raise SqlError("AFTER MATCH SKIP TO a symbol isn't supported")
+        self.need("PATTERN")
+        out.pattern = self.raw_parens()
+        if self.eat("WITHIN"):
+            out.within = self.primary()
+        if self.eat("DEFINE"):
+            out.define = self.listed(lambda: (self.name(), (self.need("AS"), self.expr())[1]))
+        self.need(")")
+        out.alias = self.alias()
+        return out
+
     def called(self, call: Any, lateral: bool) -> A.TableCall:
         out = A.TableCall(call, lateral=lateral)
         out.ordinality = self.eat("WITH", "ORDINALITY")
@@ -427,6 +543,8 @@ class Parser:
                 self.eat("EXCLUDE", "NULLS")
                 out = A.Pivoted(out, kind, self.raw_parens(), "")
                 out.alias = self.alias()
+            elif self.at("MATCH_RECOGNIZE", "("):
+                out = self.matched(out)
             else:
                 return out
 
@@ -491,7 +609,7 @@ class Parser:
                 if "*" in t.text:
                     pattern = A.Bin("||", A.Lit("string", "(?i)"), pattern)
                 left = A.Like("RLIKE", left, pattern, None, t.text[0] == "!")
-            elif t.kind == "op" and t.text in ("@>", "<@") or t.text == "&&" and self.d.name == "postgres":
+            elif t.kind == "op" and t.text in ("@>", "<@", "?", "?|", "?&") or t.text == "&&" and self.d.name == "postgres":
                 self.i += 1
                 left = A.Bin(t.text, left, self.bits())
             elif t.upper == "IS":
@@ -582,9 +700,12 @@ class Parser:
                 out = A.Cast(out, self.type())
             elif self.t.text == "[" and self.t.kind == "op":
                 self.i += 1
-                index = None if self.at(":") else self.expr()
+                index = None if self.at(":") or self.t.kind == "param" and self.t.text[0] == ":" else self.expr()
                 to, ranged = None, False
-                if self.eat(":"):
+                if self.t.kind == "param" and self.t.text[0] == ":" and self.peek().text == "]":  # a[1:2] reads as a, 1 and a parameter
+                    text, self.i = self.t.text[1:], self.i + 1
+                    ranged, to = True, A.Lit("number", text) if text.isdigit() else A.Name([text])
+                elif self.eat(":"):
                     ranged, to = True, None if self.at("]") else self.expr()
                 self.need("]")
                 out = A.Item(out, index, to, ranged)
@@ -765,13 +886,13 @@ class Parser:
 
     def window(self) -> A.Window:
         w = A.Window()
-        if self.t.kind in ("word", "name") and self.t.upper not in ("PARTITION", "ORDER", "ROWS", "RANGE", "DISTRIBUTE", "SORT"):
+        if self.t.kind in ("word", "name") and self.t.upper not in ("PARTITION", "ORDER", "ROWS", "RANGE", "GROUPS", "DISTRIBUTE", "SORT"):
             w.base = self.name()
         if self.eat("PARTITION", "BY") or self.eat("DISTRIBUTE", "BY"):
             w.partition = self.listed(self.expr)
         if self.eat("ORDER", "BY") or self.eat("SORT", "BY"):
             w.order = self.listed(self.key)
-        if self.t.upper in ("ROWS", "RANGE"):
+        if self.t.upper in ("ROWS", "RANGE", "GROUPS"):
             start, depth = self.t.at, 0
             while depth or self.t.text != ")":
                 depth += (self.t.text == "(") - (self.t.text == ")")
@@ -837,6 +958,8 @@ class Parser:
                 return c
 
     def lambda_or_expr(self, function: str) -> Any:
+        if self.t.kind in ("word", "name") and self.peek().text == "." and self.peek(2).text == "*":  # COUNT(a.*)
+            return self.star()
         if self.t.kind == "word" and self.peek().text == "->" and self.d.name in ("spark", "presto", "clickhouse", "hive"):
             name = self.name()
             self.i += 1
@@ -850,6 +973,11 @@ class Parser:
         u = self.t.upper
         if u in ("SELECT", "WITH", "VALUES", "(") or self.t.text == "(":
             out = self.query()
+            if u == "WITH" and self.t.upper in ("INSERT", "UPDATE", "DELETE", "MERGE"):
+                raise SqlError("WITH before a write isn't supported: put it into the statement's query")
+        elif u in WRITES:
+            out = getattr(self, WRITES[u])()
+            out.text = self.sql[start : self.t.at].strip()
         else:
             out = self.other(u)
             while self.t.kind != "end" and self.t.text != ";":
@@ -859,45 +987,243 @@ class Parser:
             raise SqlError(f"unexpected {self.t.text!r} at {self.t.at}")
         return out
 
+    def row(self) -> A.Row:
+        return A.Row(self.in_parens(lambda: self.listed(self.default_or_expr)))
+
+    def default_or_expr(self) -> Any:
+        return A.Lit("null", "NULL") if self.eat("DEFAULT") else self.expr()
+
+    def assignment(self) -> tuple[Any, Any]:
+        name = A.Name(self.names())
+        self.need("=")
+        return name, self.default_or_expr()
+
+    def returning(self, s: A.Statement) -> None:
+        if self.eat("RETURNING"):
+            s.returning = self.listed(self.item)
+
+    def insert(self) -> A.Statement:
+        s = A.Statement("INSERT", "", verb=self.name().upper())
+        if self.t.upper in ("ALL", "FIRST") and self.peek().upper in ("WHEN", "INTO"):
+            return self.insert_many(s)
+        self.eat("IGNORE") and setattr(s, "conflict", A.Conflict())
+        s.overwrite = self.eat("OVERWRITE")
+        if s.verb == "REPLACE":
+            s.conflict = A.Conflict(replace=True)
+        self.eat("INTO")
+        self.eat("TABLE")
+        s.target = self.names()
+        if self.eat("PARTITION"):
+            s.options["partition"] = self.raw_parens()
+        alias = self.alias() if self.at("AS") else ""
+        if self.at("(") and self.peek().upper not in ("SELECT", "WITH", "(", "VALUES"):
+            s.columns = self.in_parens(lambda: self.listed(self.name))
+        if self.eat("OUTPUT"):
+            s.returning = self.listed(self.item)
+        if self.eat("VALUES") or self.eat("VALUE"):
+            s.rows = self.listed(self.row)
+            if self.eat("AS"):
+                alias = self.name()
+        elif self.eat("SET"):
+            pairs = self.listed(self.assignment)
+            s.columns, s.rows = [n.parts[-1] for n, _ in pairs], [A.Row([v for _, v in pairs])]
+        elif self.eat("DEFAULT", "VALUES"):
+            s.rows = [A.Row([])]
+        else:
+            s.query = self.query()
+        s.options |= {"alias": alias} if alias else {}
+        if self.eat("ON", "DUPLICATE", "KEY", "UPDATE"):
+            s.conflict = A.Conflict([], self.listed(self.assignment))
+        elif self.eat("ON", "CONFLICT"):
+            keys = self.in_parens(lambda: self.listed(self.name)) if self.at("(") else []
+            self.need("DO")
+            s.conflict = A.Conflict(keys)
+            if not self.eat("NOTHING"):
+                self.need("UPDATE", "SET")
+                s.conflict.assignments = self.listed(self.assignment)
+                s.conflict.where = self.expr() if self.eat("WHERE") else None
+        self.returning(s)
+        return s
+
+    def insert_many(self, s: A.Statement) -> A.Statement:
+        s.kind, s.verb = "INSERT ALL", self.name().upper()
+
+        def into(when: Any) -> None:
+            while self.eat("INTO"):
+                a = A.Action("INTO", when, target=self.names())
+                a.columns = self.in_parens(lambda: self.listed(self.name)) if self.at("(") else []
+                a.values = self.in_parens(lambda: self.listed(self.default_or_expr)) if self.eat("VALUES") else []
+                s.actions.append(a)
+
+        if self.at("INTO"):
+            into(None)
+        while self.eat("WHEN"):
+            when = self.expr()
+            self.need("THEN")
+            into(when)
+        if self.eat("ELSE"):
+            s.options["else"] = str(len(s.actions))
+            into(A.Lit("word", "ELSE"))
+        s.query = self.query()
+        s.target = s.actions[0].target if s.actions else []
+        return s
+
+    def update(self) -> A.Statement:
+        s = A.Statement("UPDATE", "", verb=self.name().upper())
+        s.source = self.sources()
+        s.target = next((x.parts for x in A.walk(s.source) if isinstance(x, A.Table)), [])
+        self.need("SET")
+        s.assignments = self.listed(self.assignment)
+        if self.eat("OUTPUT"):
+            s.returning = self.listed(self.item)
+        if self.eat("FROM"):
+            s.source = A.Join("CROSS", s.source, self.sources())
+        self.where_tail(s)
+        return s
+
+    def delete(self) -> A.Statement:
+        s = A.Statement("DELETE", "", verb=self.name().upper())
+        named = None
+        if not self.at("FROM"):
+            named = self.names()  # DELETE t FROM …
+            if self.at(","):
+                raise SqlError("DELETE from several tables at once isn't supported")
+        self.need("FROM")
+        s.source = self.sources()
+        if self.eat("USING"):
+            if named is None and isinstance(s.source, A.Table):
+                s.source = A.Join("CROSS", s.source, self.sources())
+            else:
+                raise SqlError("DELETE USING needs one target")
+        tables = [x for x in A.walk(s.source) if isinstance(x, A.Table)]
+        target = next((x for x in tables if named and named[-1].lower() in ((x.alias or x.parts[-1]).lower(), x.parts[-1].lower())), tables[0] if tables and not named else None)
+        if target is None:
+            raise SqlError("DELETE names a table that FROM doesn't")
+        s.target, s.options = target.parts, {"of": target.alias or target.parts[-1]}
+        if self.eat("OUTPUT"):
+            s.returning = self.listed(self.item)
+        self.where_tail(s)
+        return s
+
+    def where_tail(self, s: A.Statement) -> None:
+        s.where = self.expr() if self.eat("WHERE") else None
+        if self.eat("ORDER", "BY"):
+            s.order = self.listed(self.key)
+        if self.eat("LIMIT"):
+            s.limit = self.bits()
+        self.returning(s)
+
+    def merge(self) -> A.Statement:
+        s = A.Statement("MERGE", "", verb=self.name().upper())
+        self.eat("INTO")
+        target = self.table()
+        s.target = target.parts
+        self.need("USING")
+        s.source = A.Join("CROSS", target, self.table())
+        self.need("ON")
+        s.on = self.expr()
+        while self.eat("WHEN"):
+            a = A.Action("NOT MATCHED" if self.eat("NOT") else "MATCHED")
+            self.need("MATCHED")
+            if self.eat("BY", "SOURCE"):
+                a.kind = "BY SOURCE"
+            else:
+                self.eat("BY", "TARGET")
+            if self.eat("AND"):
+                a.when = self.expr()
+            self.need("THEN")
+            if self.eat("DELETE"):
+                a.delete = True
+            elif self.eat("UPDATE"):
+                self.need("SET")
+                a.assignments = [(A.Star(), A.Star())] if self.eat("*") else self.listed(self.assignment)
+                if self.eat("WHERE"):
+                    a.when = _and(a.when, self.expr())
+            elif self.eat("DO", "NOTHING"):
+                pass
+            else:
+                self.need("INSERT")
+                if self.eat("*"):
+                    a.values = [A.Star()]
+                else:
+                    a.columns = self.in_parens(lambda: self.listed(lambda: self.names()[-1])) if self.at("(") else []
+                    self.need("VALUES")
+                    a.values = self.in_parens(lambda: self.listed(self.default_or_expr))
+                    if self.eat("WHERE"):
+                        a.when = _and(a.when, self.expr())
+            s.actions.append(a)
+        self.returning(s)
+        return s
+
+    def load(self) -> A.Statement:
+        """LOAD DATA [LOCAL] INFILE 'f' [REPLACE|IGNORE] INTO TABLE t [FIELDS TERMINATED BY 'c' [ENCLOSED BY 'q']] [LINES TERMINATED BY 'c'] [IGNORE n LINES] [(cols)]."""
+        s = A.Statement("LOAD", "", verb=self.name().upper(), options={"sep": "\t", "quote": "", "skip": "0"})
+        self.need("DATA")
+        self.eat("LOCAL")
+        self.need("INFILE")
+        s.options["path"] = self.value()
+        self.one_of("REPLACE", "IGNORE")
+        self.need("INTO", "TABLE")
+        s.target = self.names()
+        while self.t.kind != "end" and self.t.text != ";":
+            if self.one_of("FIELDS", "COLUMNS"):
+                part = {"TERMINATED": "sep", "ENCLOSED": "quote", "ESCAPED": "escape"}
+                self.eat("OPTIONALLY")
+                while self.t.upper in part or self.at("OPTIONALLY"):
+                    self.eat("OPTIONALLY")
+                    key = part[self.name().upper()]
+                    self.need("BY")
+                    s.options[key] = self.value()
+            elif self.eat("LINES"):
+                self.need("TERMINATED", "BY")
+                s.options["line"] = self.value()
+            elif self.eat("IGNORE"):
+                s.options["skip"] = self.value()
+                self.one_of("LINES", "ROWS")
+            elif self.at("("):
+                s.columns = self.in_parens(lambda: self.listed(self.name))
+            else:
+                raise SqlError(f"unexpected {self.t.text!r} at {self.t.at}")
+        return s
+
+    def copy(self) -> A.Statement:
+        """COPY t [(cols)] | (query) FROM | TO 'f' [WITH] (FORMAT csv, HEADER, DELIMITER ';') or the old form without parentheses."""
+        s = A.Statement("COPY", "", verb=self.name().upper(), options={"sep": ",", "quote": '"', "header": "false"})
+        if self.at("("):
+            s.query = self.in_parens(self.query)
+        else:
+            s.target = self.names()
+            s.columns = self.in_parens(lambda: self.listed(self.name)) if self.at("(") else []
+        s.options["way"] = self.one_of("FROM", "TO")
+        if not s.options["way"]:
+            raise SqlError(f"expected FROM or TO at {self.t.at}")
+        s.options["path"] = self.value()
+        self.eat("WITH")
+        keys = {"DELIMITER": "sep", "QUOTE": "quote", "NULL": "null", "FORMAT": "format", "ESCAPE": "escape", "ENCODING": "encoding"}
+
+        def option() -> None:
+            key = self.value().upper()
+            if key == "HEADER":
+                s.options["header"] = "false" if self.one_of("FALSE", "OFF") else "true"
+                self.one_of("TRUE", "ON")
+            elif key == "CSV":
+                s.options["format"] = "csv"
+            elif key in keys:
+                self.eat("AS")
+                s.options[keys[key]] = self.value()
+            else:
+                raise SqlError(f"unknown option {key}")
+
+        if self.at("("):
+            self.in_parens(lambda: self.listed(option))
+        while self.t.kind != "end" and self.t.text != ";":
+            option()
+        return s
+
     def other(self, u: str) -> A.Statement:
         s = A.Statement("OTHER", "", verb=u)
-        if u in ("INSERT", "REPLACE"):
-            s.kind, self.i = "INSERT", self.i + 1
-            self.one_of("IGNORE", "OVERWRITE")
-            self.eat("INTO")
-            self.eat("TABLE")
-            s.target = self.names()
-            if self.at("(") and self.peek().upper != "SELECT":
-                s.columns = self.in_parens(lambda: self.listed(self.name))
-            if self.eat("VALUES") or self.eat("VALUE"):
-                s.rows = self.listed(lambda: A.Row(self.in_parens(lambda: self.listed(self.expr))))
-            elif self.t.upper in ("SELECT", "WITH") or self.at("("):
-                s.query = self.query()
-        elif u == "UPDATE":
-            s.kind, self.i = "UPDATE", self.i + 1
-            s.source = self.sources()
-            s.target = next((x.parts for x in A.walk(s.source) if isinstance(x, A.Table)), [])
-            self.need("SET")
-            s.assignments = self.listed(lambda: (A.Name(self.names()), (self.need("="), self.expr())[1]))
-            if self.eat("FROM"):
-                s.source = A.Join("CROSS", s.source, self.sources())
-            s.where = self.expr() if self.eat("WHERE") else None
-        elif u == "DELETE":
-            s.kind, self.i = "DELETE", self.i + 1
-            self.need("FROM")
-            s.source = self.sources()
-            s.target = next((x.parts for x in A.walk(s.source) if isinstance(x, A.Table)), [])
-            s.where = self.expr() if self.eat("WHERE") else None
-        elif u == "MERGE":
-            s.kind, self.i = "MERGE", self.i + 1
-            self.eat("INTO")
-            target = self.table()
-            s.target = target.parts
-            self.need("USING")
-            s.source = A.Join("CROSS", target, self.table())
-            self.need("ON")
-            s.on = self.expr()
-        elif u in ("CREATE", "ALTER", "DROP", "TRUNCATE", "RENAME", "COMMENT"):
+        if u in ("CREATE", "ALTER", "DROP", "TRUNCATE", "RENAME", "COMMENT"):
+            first = self.i
             s.kind, self.i = "DDL", self.i + 1
             while self.t.kind == "word" and self.t.upper in ("OR", "REPLACE", "TEMP", "TEMPORARY", "TABLE", "VIEW", "INDEX", "UNIQUE", "IF", "NOT", "EXISTS", "GLOBAL", "MATERIALIZED", "EXTERNAL", "DATABASE", "SCHEMA", "PROCEDURE", "FUNCTION", "SEQUENCE"):
                 self.i += 1
@@ -906,12 +1232,27 @@ class Parser:
             while self.t.kind != "end" and self.t.text != ";" and not (self.t.upper == "AS" and self.peek().upper in ("SELECT", "WITH")):
                 self.i += 1
             if self.eat("AS"):
+                s.options["head"] = self.sql[self.toks[first].at : self.toks[self.i - 1].end]
                 s.query = self.query()
         elif u in ("SET", "USE", "SHOW", "EXPLAIN", "DESC", "DESCRIBE"):
             s.kind = u
+        elif u in ("CALL", "EXEC", "EXECUTE"):
+            s.kind, self.i = "CALL", self.i + 1
+            if self.t.kind in ("word", "name"):
+                s.target = self.names()
+        elif u not in VERBS and self.t.kind != "end":
+            raise SqlError(f"no statement starts with {self.t.text!r}")
         return s
 
 
+WRITES = {"INSERT": "insert", "REPLACE": "insert", "UPDATE": "update", "DELETE": "delete", "MERGE": "merge", "LOAD": "load", "COPY": "copy"}
+#: First words of statements that are known, but only passed on.
+VERBS = set(
+    "GRANT REVOKE DENY LOCK UNLOCK FLUSH PREPARE DEALLOCATE BEGIN START COMMIT ROLLBACK SAVEPOINT RELEASE ANALYZE OPTIMIZE VACUUM KILL DECLARE RETURN IF WHILE LOOP REPEAT FOR OPEN FETCH CLOSE SIGNAL RESIGNAL LEAVE ITERATE "
+    "REFRESH CACHE UNCACHE MSCK RESET CLEAR ADD LIST CHECKPOINT CLUSTER REINDEX DISCARD LISTEN NOTIFY UNLISTEN ATTACH DETACH PRAGMA PURGE FLASHBACK AUDIT NOAUDIT HANDLER DO HELP CHANGE STOP INSTALL UNINSTALL XA PRINT GO END".split()
+)
+
+
 def _and(a: Any, b: Any) -> Any:
     return b if a is None else a if b is None else A.Bin("AND", a, b)
 

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Small dictionaries of our own.
-FIRST = ("Ada", "Bela", "Cora", "Dino", "Ella", "Finn", "Gus", "Hana", "Ivo", "Jule", "Kai", "Lia", "Milo", "Nora", "Otto", "Pia")
-LAST = ("Arden", "Bloom", "Castell", "Dorn", "Ekberg", "Falk", "Grove", "Holm", "Ives", "Jarvis", "Kern", "Lund", "Marsh", "North", "Oakes", "Pell")
-CITIES = ("Aldburg", "Brinmouth", "Caldera", "Dunmere", "Elstow", "Farrow", "Glenhold", "Harwick")
-DOMAINS = ("example.com", "example.org", "example.net")
-WORDS = ("amber", "brook", "cedar", "delta", "ember", "frost", "grain", "harbor", "inlet", "juniper", "kettle", "linen", "meadow", "nectar", "orchid", "pebble")
-
+from ..functions.random import CITIES, DOMAINS, FIRST, LAST, WORDS, Draw, call
 
 def draw(seed: int, salt: str, n: int, row: Column | None = None) -> Column:
     """A number from 0 to n - 1 for each row, by a hash of row, salt and seed."""
@@ -70,27 +64,12 @@ def field(kind: str, seed: int, salt: str, **o) -> Column:
             return pattern(o["pattern"], seed, salt)
         case "constant":
             return F.lit(o["value"])
-    raise ValueError(f"unknown kind {kind}")
+    return call(Draw(F.col("__i"), seed, salt), kind, *o.get("args", ()))  # any placeholder of templates
 
 
 def pattern(text: str, seed: int, salt: str) -> Column:
-    """A small regular expression read backwards: literals, \\d, \\w, [a-z0-9] and {n}."""
-    import re
-
-    parts: list[Column] = []
-    for i, m in enumerate(re.finditer(r"(\\d|\\w|\[[^\]]+\]|\\?.)(?:\{(\d+)\})?", text)):
-        unit, n = m[1], int(m[2] or 1)
-        if unit == "\\d":
-            chars = "0123456789"
-        elif unit == "\\w":
-            chars = "abcdefghijklmnopqrstuvwxyz0123456789_"
-        elif unit[0] == "[":
-            chars = re.sub(r"(.)-(.)", lambda r: "".join(map(chr, range(ord(r[1]), ord(r[2]) + 1))), unit[1:-1])
-        else:
-            chars = unit[-1]
-        for k in range(n):
-            parts.append(F.substring(F.lit(chars), (draw(seed, f"{salt}.{i}.{k}", len(chars)) + 1).cast("int"), F.lit(1)) if len(chars) > 1 else F.lit(chars))
-    return F.concat(*parts)
+    """A text that a regular expression matches."""
+    return Draw(F.col("__i"), seed, salt).regex(text)
 
 
 def generate(spark: SparkSession, n: int, fields: dict[str, dict], seed: int = 1, partitions: int | None = None) -> DataFrame:

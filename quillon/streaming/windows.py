@@ -1,16 +1,17 @@
 """Structured Streaming over events: windows, sessions, duplicates, and the stream-stream join WITHIN a span.
 
-State is bounded by a watermark in every operator. run() drains a source once (availableNow) into a table in memory or a folder.
+State is bounded by a watermark in every operator. run() drains a source once (availableNow) into a shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 LATE = "10 minutes"
 
 
@@ -45,15 +46,25 @@ def join_within(left: DataFrame, right: DataFrame, key: str, span: str, late: st
     return a.join(b, F.expr(f"a.{key} = b.{key} AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {span}"))
 
 
-def run(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drain the stream and return what it wrote. The checkpoint folder must be a shared one on a cluster."""
+def run(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Drain the stream and return what it wrote, as files in a shared folder: nothing gathers on the driver.
+
+    Each batch goes to a folder of its own, written whole or again, so a repeated batch changes nothing. In complete mode a batch holds all
+    windows, and the last one counts.
+    """
     spark = df.sparkSession
-    name = f"q_{uuid.uuid4().hex[:10]}"
-    at = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at.rstrip('/')}/{name}")
-    query = writer.format("memory").queryName(name).start()
+    at = f"{(folder or shared_dir(spark)).rstrip('/')}/stream-{uuid.uuid4().hex[:10]}"
+    schema, last = df.schema, []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        last.append(number)
+
+    query = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(put).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{at}/out/batch={last[-1]}" if mode == "complete" else f"{at}/out/*")
 
 
 def clause(text: str) -> dict:

@@ -39,7 +39,7 @@ def test_query_against_sql(spark, data, duck, name):
     assert sorted(tuple(cell(r[c]) for c in cols) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)) or [pytest.param("none", marks=pytest.mark.skip)])
 def test_query_without_sql_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
