@@ -107,6 +107,12 @@ class Engine:
         self.last_sql, self.warnings = to_spark(tree, dialect, self.partitions)
         return self.spark.sql(self.last_sql)
 
+    def write(self, builder: Any) -> DataFrame:
+        """A write (or query) of the builders, or a tree."""
+        tree = getattr(builder, "tree", builder)
+        self._open(tree)
+        return self._write(tree, "spark") if isinstance(tree, A.Statement) else self.spark.sql(to_spark(tree, "spark", self.partitions)[0])
+
     def _emitter(self, dialect: str) -> Emitter:
         em = Emitter(dialect)
         em.partitions = self.partitions

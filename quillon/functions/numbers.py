@@ -105,7 +105,7 @@ def is_not_number(s) -> Column:
 
 def is_coin_amount(s) -> Column:
     """A whole or decimal number that isn't negative."""
-    return is_positive_integer(s) | is_positive_decimal(s)
+    return F.coalesce(_c(s).rlike(r"^\d+(?:\.\d+)?$"), F.lit(False))
 
 
 def deduct_fee(x, rate, places: int = 6) -> Column:

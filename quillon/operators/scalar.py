@@ -67,10 +67,10 @@ add("string_templates", "orders", lambda: ["o_orderkey", S.lenient_format(F.lit(
 add("number_steps", "orders", lambda: ["o_orderkey", N.increase_step(F.concat("o_custkey", F.lit(".50")), 7).alias("up"), N.average("o_custkey", "o_orderkey", 1).alias("avg"), N.compare_abs(-F.col("o_custkey"), F.lit(700)).alias("cmp"), N.accuracy_all(F.lit("1.200")).alias("acc"), N.to_unsigned(-F.col("o_custkey")).alias("u"), N.digits_of(F.concat(F.lit("no "), "o_custkey")).alias("digits"), N.first_number(F.concat(F.lit("a"), "o_custkey", F.lit("b12"))).alias("first"), N.add_all("o_custkey", F.lit(None).cast("long"), F.lit(2)).alias("sum"), N.is_coin_amount(F.col("o_custkey").cast("string")).alias("coin"), N.deduct_fee("o_custkey", 0.25, 2).alias("fee")],
     "SELECT o_orderkey, o_custkey || '.57' AS up, CASE WHEN (o_custkey + o_orderkey) % 2 = 1 THEN ((o_custkey + o_orderkey) // 2) || '.5' ELSE CAST((o_custkey + o_orderkey) // 2 AS VARCHAR) END AS avg, CAST(sign(o_custkey - 700) AS INT) AS cmp, 3 AS acc, CAST(o_custkey AS VARCHAR) AS u, CAST(o_custkey AS VARCHAR) AS digits, CAST(o_custkey AS VARCHAR) AS first, o_custkey + 2 AS sum, true AS coin, rtrim(rtrim(CAST(CAST(o_custkey * 0.75 AS DECIMAL(18,2)) AS VARCHAR), '0'), '.') AS fee FROM orders")
 add("conversions", "orders", lambda: ["o_orderkey", V.to_int(F.concat(F.lit(" "), "o_custkey", F.lit(".9"))).alias("i"), V.to_long(F.lit("1,234")).alias("l"), V.to_boolean("o_orderstatus", False).alias("b"), V.number_of_boolean(F.lit("yes")).alias("n"), V.to_double("o_orderstatus", -1.0).alias("d"), V.to_filled_string(F.nullif("o_orderstatus", F.lit("F")), "-").alias("s"), V.to_binary_text(F.col("o_custkey") % 256).alias("bits"), F.date_format(V.to_date(F.date_format("o_orderdate", "yyyy/MM/dd")), "yyyy-MM-dd").alias("at")],
-    "SELECT o_orderkey, CAST(o_custkey AS INT) AS i, 1234 AS l, false AS b, 1 AS n, -1.0 AS d, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE o_orderstatus END AS s, right(lpad(format('{:b}', o_custkey % 256), 8, '0'), 8) AS bits, strftime(o_orderdate, '%Y-%m-%d') AS at FROM orders")
+    "SELECT o_orderkey, CAST(o_custkey AS INT) AS i, 1234 AS l, false AS b, 1 AS n, CAST(-1 AS DOUBLE) AS d, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE o_orderstatus END AS s, right(lpad(format('{:b}', o_custkey % 256), 8, '0'), 8) AS bits, strftime(o_orderdate, '%Y-%m-%d') AS at FROM orders")
 add("time_spans", "events", lambda: ["event_id", D.to_unit(F.col("event_id") * 3_600_000, "day").alias("days"), D.past("ts", "hour", F.col("ts").cast("timestamp") + F.expr("INTERVAL 90 MINUTES")).alias("hours"), D.past_text(F.col("event_id") % 100 * 61_000).alias("span"), D.month_and_day(F.month("ts"), F.day("ts")).alias("md"), D.hour_of("ts").alias("h"), D.day_of("ts").alias("d")],
     "SELECT event_id, event_id // 24 AS days, 1 AS hours, CASE WHEN event_id % 100 = 0 THEN '' ELSE (CASE WHEN event_id % 100 * 61 >= 3600 THEN (event_id % 100 * 61 // 3600) || '小时' ELSE '' END) || (CASE WHEN event_id % 100 * 61 % 3600 >= 60 THEN (event_id % 100 * 61 % 3600 // 60) || '分钟' ELSE '' END) || (CASE WHEN event_id % 100 * 61 % 60 > 0 THEN (event_id % 100 * 61 % 60) || '秒' ELSE '' END) END AS span, strftime(ts, '%m%d') AS md, hour(ts) AS h, day(ts) AS d FROM events")
 add("short_codes", "orders", lambda: ["o_orderkey", (I.decode62(I.encode62("o_orderkey")) == F.col("o_orderkey")).alias("back"), F.length(I.encode62("o_orderkey")).alias("n"), I.is_uuid7(I.uuid7_monotonic(F.lit(1_700_000_000_000))).alias("v7"), (F.unix_millis(I.uuid7_time(I.uuid7_monotonic(F.lit(1_700_000_000_000)))) == 1_700_000_000_000).alias("t7"), (I.ulid_of_bytes(I.ulid_bytes(I.ulid(F.lit(1_700_000_000_000), F.col("o_orderkey")))) == I.ulid(F.lit(1_700_000_000_000), F.col("o_orderkey"))).alias("ulid"), I.hex_id("o_orderkey").alias("hex")],
-    "SELECT o_orderkey, true AS back, CASE WHEN o_orderkey < 62 THEN 1 WHEN o_orderkey < 3844 THEN 2 WHEN o_orderkey < 238328 THEN 3 ELSE 4 END AS n, true AS v7, true AS t7, true AS ulid, format('{:x}', o_orderkey) AS hex FROM orders")
+    "SELECT o_orderkey, CASE WHEN o_orderkey > 0 THEN true END AS back, CASE WHEN o_orderkey < 1 THEN NULL WHEN o_orderkey < 62 THEN 1 WHEN o_orderkey < 3844 THEN 2 WHEN o_orderkey < 238328 THEN 3 ELSE 4 END AS n, true AS v7, true AS t7, true AS ulid, format('{:x}', o_orderkey) AS hex FROM orders")
 add("array_places", "nation", lambda: ["n_nationkey", A.get(F.array("n_nationkey", "n_regionkey"), 1, -1).alias("one"), A.get(F.array("n_nationkey"), 5, -1).alias("other"), A.is_index_valid(F.array("n_nationkey"), 0).alias("valid"), A.contains(F.array("n_nationkey", "n_regionkey"), 3).alias("has"), F.array_join(A.reverse(F.array("n_nationkey", "n_regionkey")), "-").alias("back"), A.deep_equals(F.array("n_nationkey"), F.array("n_regionkey")).alias("same"), F.array_join(A.convert(F.array("n_nationkey"), lambda x: x * 2), "").alias("twice"), A.is_not_empty(F.array("n_name")).alias("full")],
     "SELECT n_nationkey, n_regionkey AS one, -1 AS other, true AS valid, n_nationkey = 3 OR n_regionkey = 3 AS has, n_regionkey || '-' || n_nationkey AS back, n_nationkey = n_regionkey AS same, CAST(n_nationkey * 2 AS VARCHAR) AS twice, true AS full FROM nation")

@@ -178,12 +178,12 @@ FIELDS = {"id": {"kind": "id"}, "age": {"kind": "int", "min": 18, "max": 90}, "n
 def mock_rows(spark: SparkSession, d: str) -> DataFrame:
     """How many of 1,000 rows are as their fields say (a tenth of the mails may be null)."""
     rows = mock.generate(spark, 1000, FIELDS, seed=4)
-    tests = {"id": F.col("id").between(1, 1000), "age": F.col("age").between(18, 90), "name": F.col("name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$"), "mail": F.col("mail").isNull() | F.col("mail").rlike(r"^[a-z]+\\.\\d+@example\\.(com|org|net)$"), "code": F.col("code").rlike(r"^[A-C]{2}-\\d{3}$"), "state": F.col("state").isin("new", "old")}
+    tests = {"id": F.col("id").between(1, 1000), "age": F.col("age").between(18, 90), "name": F.col("name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$"), "mail": F.col("mail").isNull() | F.col("mail").rlike(r"^[a-z]+\.\d+@example\.(com|org|net)$"), "code": F.col("code").rlike(r"^[A-C]{2}-\d{3}$"), "state": F.col("state").isin("new", "old")}
     counts = rows.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("good")) for k in tests])))
 
 
-TEMPLATE = {"id|+1": 1, "name": "@name", "age|18-30": 0, "price|1-10.2": 0, "ok|1": True, "stars|1-3": "*", "tags|2": ["@word(3)"], "pick|1": ["a", "b"], "code": "/[A-Z]{2}-\\d{3}/", "kids|1-2": [{"n": "@first", "x|1-5": 1}]}
+TEMPLATE = {"id|+1": 1, "name": "@name", "age|18-30": 0, "price|1-10.2": 0, "ok|1": True, "stars|1-3": "*", "tags|2": ["@word(3)"], "pick|1": ["a", "b"], "code": r"/[A-Z]{2}-\d{3}/", "kids|1-2": [{"n": "@first", "x|1-5": 1}]}
 
 
 @query("SELECT o_orderkey, true AS fits, (o_custkey < 18 OR o_custkey > 30) AS broken FROM orders")
@@ -202,10 +202,10 @@ def template_rows(spark: SparkSession, d: str) -> DataFrame:
 def random_values(spark: SparkSession, d: str) -> DataFrame:
     """Values of each family for each customer, tested for their form."""
     r = R.Draw(F.col("c_custkey"), 9)
-    made = table(spark, d, "customer").select("c_custkey", r.idCard().alias("card"), r.bankCard().alias("bank"), r.email().alias("mail"), r.ip().alias("ip"), r.mac().alias("mac"), r.uuid().alias("uuid"), r.regex("[a-c]{2}(x|y)\\d+").alias("p"), I.ulid(F.lit(1_700_000_000_000), F.col("c_custkey")).alias("ulid"))
+    made = table(spark, d, "customer").select("c_custkey", r.idCard().alias("card"), r.bankCard().alias("bank"), r.email().alias("mail"), r.ip().alias("ip"), r.mac().alias("mac"), r.uuid().alias("uuid"), r.regex(r"[a-c]{2}(x|y)\d+").alias("p"), I.ulid(F.lit(1_700_000_000_000), F.col("c_custkey")).alias("ulid"))
     return made.select(
-        "c_custkey", K.id_card_checksum_ok("card").alias("card"), (R.luhn(F.substring("bank", F.lit(1), F.length("bank") - 1)) == F.col("bank")).alias("luhn"), F.col("mail").rlike("^[a-z]+@example").alias("mail"), F.col("ip").rlike(r"^\\d+(\\.\\d+){3}$").alias("ip"),
-        F.col("mac").rlike("^([0-9a-f]{2}:){5}[0-9a-f]{2}$").alias("mac"), F.col("uuid").rlike("^[0-9a-f-]{36}$").alias("uuid"), F.col("p").rlike(r"^[a-c]{2}(x|y)\\d+$").alias("pattern"), (I.is_ulid("ulid") & (I.ulid_parts("ulid")["millis"] == 1_700_000_000_000)).alias("ulid"),
+        "c_custkey", K.id_card_checksum_ok("card").alias("card"), (R.luhn(F.substring("bank", F.lit(1), F.length("bank") - 1)) == F.col("bank")).alias("luhn"), F.col("mail").rlike("^[a-z]+@example").alias("mail"), F.col("ip").rlike(r"^\d+(\.\d+){3}$").alias("ip"),
+        F.col("mac").rlike("^([0-9a-f]{2}:){5}[0-9a-f]{2}$").alias("mac"), F.col("uuid").rlike("^[0-9a-f-]{36}$").alias("uuid"), F.col("p").rlike(r"^[a-c]{2}(x|y)\d+$").alias("pattern"), (I.is_ulid("ulid") & (I.ulid_parts("ulid")["millis"] == 1_700_000_000_000)).alias("ulid"),
     )
 
 
