@@ -14,6 +14,7 @@ from .operators.matching import match_rows, tests_of
 from .plans import ast as A
 from .plans import dml
 from .plans import govern as G
+from .plans import targets
 from .plans.emit import Emitter, quoted, to_spark
 from .plans.lexer import SqlError
 from .plans.parser import parse
@@ -178,8 +179,10 @@ class Engine:
         return G.expand_star(tree, lambda table: self._columns([table]))
 
 
-def convert(text: str, source: str) -> dict[str, Any]:
-    """{sql, warnings, error}: one statement to Spark SQL. An error is never hidden."""
+def convert(text: str, source: str, target: str = "spark") -> dict[str, Any]:
+    """{sql, warnings, error}: one statement in another dialect. An error is never hidden."""
+    if target != "spark":
+        return targets.convert(text, source, target)
     try:
         sql, warnings = to_spark(parse(text, source), source)
         return {"sql": sql, "warnings": warnings, "error": None}
@@ -187,12 +190,12 @@ def convert(text: str, source: str) -> dict[str, Any]:
         return {"sql": None, "warnings": [], "error": str(e)}
 
 
-def convert_all(statements: DataFrame, sql_col: str = "sql", dialect_col: str = "dialect") -> DataFrame:
+def convert_all(statements: DataFrame, sql_col: str = "sql", dialect_col: str = "dialect", target: str = "spark") -> DataFrame:
     """A table of statements, converted on the executors."""
 
     @F.pandas_udf("struct<sql:string,warnings:array<string>,error:string>")
     def run(sql: pd.Series, dialect: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([convert(a, b) for a, b in zip(sql, dialect, strict=True)], columns=["sql", "warnings", "error"])
+        return pd.DataFrame([convert(a, b, target) for a, b in zip(sql, dialect, strict=True)], columns=["sql", "warnings", "error"])
 
     return statements.withColumn("converted", run(sql_col, dialect_col))
 

@@ -154,6 +154,16 @@ def dialect_conversion(spark: SparkSession, d: str) -> DataFrame:
     return convert_all(_statements(spark, d)).select("p_partkey", F.col("converted.sql").alias("spark_sql"))
 
 
+ORACLE_SQL = [
+    "SELECT id FROM t WHERE a = 1 OR 1 = 1", "DELETE FROM t", "SELECT k FROM (SELECT k AS k, ROW_NUMBER() OVER (PARTITION BY k ORDER BY k) AS w_1 FROM t) q_2 WHERE w_1 = 1", "SELECT a FROM t WHERE ROWNUM <= 3", "SELECT * FROM (SELECT x FROM t) WHERE ROWNUM <= 5", "SELECT SLEEP(5) FROM dual", None, "SELECT * FROM a INNER JOIN b USING (id)", None, None,
+]
+
+
+@query(f"SELECT p_partkey, {_expected('oracle_sql', ORACLE_SQL)} FROM part")
+def dialect_targets(spark: SparkSession, d: str) -> DataFrame:
+    return convert_all(_statements(spark, d), target="oracle").select("p_partkey", F.col("converted.sql").alias("oracle_sql"))
+
+
 @query(f"SELECT p_partkey, {_expected('codes', CODES)} FROM part")
 def statement_firewall(spark: SparkSession, d: str) -> DataFrame:
     return inspect_all(_statements(spark, d)).select("p_partkey", F.array_join("seen.codes", ",").alias("codes"))
