@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.parser import parse_expr
+from ..sources.shared import shared_dir
 from .matching import match_rows
 
 
@@ -114,6 +116,34 @@ def insert_first(source: DataFrame, branches: list[tuple[Column, str]], first: b
     return out
 
 
+def prefix(df: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
+    """The input's columns and place (the row's number in the order), rows (of all), and with a value running (its sum up to the row) and total.
+
+    What a window without partition does in one task is done by many: rows are spread by ranges of the order and written, each range is numbered and
+    summed by itself, and the ranges' own counts and sums (one row a range) are added up before them. The order must be total.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/prefix-{uuid.uuid4().hex[:12]}"
+    spread = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    spread.write.parquet(at)
+    rows = spark.read.schema(spread.schema).parquet(at)
+    x = F.col(value) if value else F.lit(0)
+    sums = rows.groupBy("__range").agg(F.count("*").alias("__n"), F.sum(x).alias("__s"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    sums = sums.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__s").over(before).alias("__had"), F.sum("__n").over(Window.partitionBy()).alias("rows"), F.sum("__s").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(F.broadcast(sums), "__range")
+    made = {"place": F.count("*").over(inside) + F.col("__before")} | ({"running": F.sum(x).over(inside) + F.coalesce("__had", F.lit(0))} if value else {})
+    return out.withColumns(made).select(*df.columns, "place", "rows", *["running", "total"] * bool(value))
+
+
+def ntile(place: Column, rows: Column, k: int) -> Column:
+    """Which of k tiles a place falls into; the first tiles are larger by one where rows don't divide."""
+    base, extra = F.floor(rows / k), rows % k
+    head = extra * (base + 1)
+    return F.when(place <= head, F.ceil(place / (base + 1))).otherwise(extra + F.ceil((place - head) / base)).cast("int")
+
+
 def densify(facts: DataFrame, by: list[str], dimension: DataFrame, on: list[str]) -> DataFrame:
     """Partitioned outer join: every key of `by` gets a row for every row of the (small) dimension."""
     return facts.select(*by).distinct().join(dimension.select(*on).distinct(), how="cross").join(facts, [*by, *on], "left")

@@ -156,10 +156,8 @@ q("unpivot", "sqlserver", "SELECT * FROM labels UNPIVOT (v FOR k IN (quality, to
 # --- analytic families
 q("month_over_month", "mysql", "WITH m AS (SELECT DATE_FORMAT(o_orderdate, '%Y-%m') AS ym, COUNT(*) AS n FROM orders GROUP BY DATE_FORMAT(o_orderdate, '%Y-%m')) SELECT ym, n, n - LAG(n) OVER (ORDER BY ym) AS delta FROM m", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, COUNT(*) AS n FROM orders GROUP BY 1) SELECT ym, n, n - LAG(n) OVER (ORDER BY ym) AS delta FROM m")
 q("cohorts", "postgres", "WITH f AS (SELECT o_custkey, MIN(EXTRACT(YEAR FROM o_orderdate)) AS cohort FROM orders GROUP BY o_custkey) SELECT f.cohort, EXTRACT(YEAR FROM o.o_orderdate) - f.cohort AS age, COUNT(DISTINCT o.o_custkey) AS customers FROM orders o JOIN f ON f.o_custkey = o.o_custkey GROUP BY f.cohort, EXTRACT(YEAR FROM o.o_orderdate) - f.cohort")
-q("rfm", "ansi", f"WITH r AS (SELECT o_custkey, COUNT(*) AS f, SUM({dec('o_totalprice')}) AS m FROM orders GROUP BY o_custkey) SELECT o_custkey, NTILE(5) OVER (ORDER BY f DESC, o_custkey) AS f_tile, NTILE(5) OVER (ORDER BY m DESC, o_custkey) AS m_tile FROM r")
 q("gaps_and_islands", "ansi", "WITH d AS (SELECT o_orderkey, o_custkey, o_orderkey - ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS g, o_orderstatus FROM orders) SELECT o_orderstatus, g, MIN(o_orderkey) AS first_key, COUNT(*) AS n FROM d GROUP BY o_orderstatus, g")
 q("basket_pairs", "ansi", "SELECT a.l_suppkey AS s1, b.l_suppkey AS s2, COUNT(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey")
-q("pareto", "ansi", f"WITH s AS (SELECT o_custkey, SUM({dec('o_totalprice')}) AS m FROM orders GROUP BY o_custkey), c AS (SELECT o_custkey, SUM(m) OVER (ORDER BY m DESC, o_custkey ROWS UNBOUNDED PRECEDING) AS run, SUM(m) OVER () AS total FROM s) SELECT o_custkey, CASE WHEN run * 100 <= total * 80 THEN 'A' WHEN run * 100 <= total * 95 THEN 'B' ELSE 'C' END AS class FROM c")
 q("sessions", "postgres", "WITH g AS (SELECT user_id, event_id, CASE WHEN EXTRACT(EPOCH FROM ts) - LAG(EXTRACT(EPOCH FROM ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800 THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, SUM(fresh) AS sessions, COUNT(*) AS n FROM g GROUP BY user_id", "WITH g AS (SELECT user_id, event_id, CASE WHEN floor(epoch(ts)) - LAG(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800 THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, CAST(SUM(fresh) AS BIGINT) AS sessions, COUNT(*) AS n FROM g GROUP BY user_id")
 q("transitions", "ansi", "WITH t AS (SELECT event_type, LEAD(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT event_type, nxt, COUNT(*) AS n FROM t WHERE nxt IS NOT NULL GROUP BY event_type, nxt")
 q("crosstab", "ansi", "SELECT o_orderpriority, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o FROM orders GROUP BY o_orderpriority")

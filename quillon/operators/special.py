@@ -88,6 +88,28 @@ def match_recognize(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("user_id").agg(F.count("*").alias("matches"), F.sum("views").alias("views"))
 
 
+# --- orders over whole tables
+
+_SPENT = "SELECT o_custkey, COUNT(*) AS f, SUM(CAST(o_totalprice AS DECIMAL(14,2))) AS m FROM orders GROUP BY o_custkey"
+
+
+def _spent(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("f"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("m"))
+
+
+@query(f"WITH r AS ({_SPENT}) SELECT o_custkey, NTILE(5) OVER (ORDER BY f DESC, o_custkey) AS f_tile, NTILE(5) OVER (ORDER BY m DESC, o_custkey) AS m_tile FROM r")
+def rfm(spark: SparkSession, d: str) -> DataFrame:
+    by_f = P.prefix(_spent(spark, d), [F.col("f").desc(), F.col("o_custkey").asc()]).withColumn("f_tile", P.ntile(F.col("place"), F.col("rows"), 5)).drop("place", "rows")
+    return P.prefix(by_f, [F.col("m").desc(), F.col("o_custkey").asc()]).select("o_custkey", "f_tile", P.ntile(F.col("place"), F.col("rows"), 5).alias("m_tile"))
+
+
+@query(f"WITH s AS ({_SPENT}), c AS (SELECT o_custkey, SUM(m) OVER (ORDER BY m DESC, o_custkey ROWS UNBOUNDED PRECEDING) AS run, SUM(m) OVER () AS total FROM s) SELECT o_custkey, CASE WHEN run * 100 <= total * 80 THEN 'A' WHEN run * 100 <= total * 95 THEN 'B' ELSE 'C' END AS class FROM c")
+def pareto(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.prefix(_spent(spark, d), [F.col("m").desc(), F.col("o_custkey").asc()], "m")
+    share = F.col("running") * 100
+    return rows.select("o_custkey", F.when(share <= F.col("total") * 80, "A").when(share <= F.col("total") * 95, "B").otherwise("C").alias("class"))
+
+
 # --- rules, JSON, HTML
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey > 700 OR o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS grade, CAST(o_custkey // 7 * 2 AS BIGINT) AS part, o_orderstatus IN ('F', 'P') AS known, 'order ' || o_orderkey || ' of ' || o_custkey AS label FROM orders")
