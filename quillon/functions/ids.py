@@ -110,7 +110,7 @@ def fnv1a(s: pd.Series) -> pd.Series:
     for i in range(int(n.max()) if len(n) else 0):
         live = order[: int((n > i).sum())]
         out[live] = (out[live] ^ np.array([units[k][i] for k in live], np.uint64)) * np.uint64(FNV_PRIME)
-    return pd.Series(out.astype(np.int64)).where(s.notna().to_numpy()).astype("Int64")
+    return pd.Series(out.astype(np.int64)).astype("Int64").where(s.notna().to_numpy())
 
 
 def encode62(x) -> Column:

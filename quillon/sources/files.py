@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,3 +83,41 @@ def schema_changes(have: T.StructType, want: T.StructType, table: str) -> list[s
     old = {f.name.lower(): f for f in have}
     out = [f"ALTER TABLE {table} ADD COLUMNS ({f.name} {f.dataType.simpleString()})" for f in want if f.name.lower() not in old]
     return out + [f"-- {f.name}: {old[f.name.lower()].dataType.simpleString()} is wanted as {f.dataType.simpleString()}" for f in want if f.name.lower() in old and old[f.name.lower()].dataType != f.dataType]
+
+
+# --- rows of CSV
+
+
+def row_map(df: DataFrame, out_col: str = "row") -> DataFrame:
+    """One map a row: column name to text; empty fields are null."""
+    names = [c for c in df.columns for _ in (0, 1)]
+    pairs = [F.lit(c) if i % 2 == 0 else F.col(f"`{c}`").cast("string") for i, c in enumerate(names)]
+    return df.select(F.create_map(*pairs).alias(out_col))
+
+
+def without(df: DataFrame, place: int) -> DataFrame:
+    """Without the column at a place, from 0."""
+    return df.select(*(F.col(f"`{c}`") for i, c in enumerate(df.columns) if i != place))
+
+
+def with_value(df: DataFrame, column: str, value, where: Column | None = None) -> DataFrame:
+    """A column set to a value, in the rows that a condition selects."""
+    new = value if isinstance(value, Column) else F.lit(value)
+    return df.withColumn(column, new if where is None else F.when(F.coalesce(where, F.lit(False)), new).otherwise(F.col(f"`{column}`")))
+
+
+def as_entities(df: DataFrame, entity: type) -> DataFrame:
+    """Columns of a dataclass by name (case and underscores aside), cast to its types; fields that the file lacks are null."""
+    from dataclasses import fields
+    from typing import get_type_hints
+
+    kinds = {int: "bigint", float: "double", str: "string", bool: "boolean", bytes: "binary", "date": "date", "datetime": "timestamp", "Decimal": "decimal(38,18)"}
+    hints = get_type_hints(entity)
+    plain = {c.lower().replace("_", ""): c for c in df.columns}
+    out = []
+    for f in fields(entity):
+        t = next((a for a in getattr(hints[f.name], "__args__", ()) if a is not type(None)), hints[f.name])
+        kind = kinds.get(t) or kinds.get(getattr(t, "__name__", ""), "string")
+        source = plain.get(f.name.lower().replace("_", ""))
+        out.append((F.col(f"`{source}`").try_cast(kind) if source else F.lit(None).cast(kind)).alias(f.name))
+    return df.select(*out)
