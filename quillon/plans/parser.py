@@ -15,6 +15,8 @@ STOP = set(
     "ISNULL NOTNULL ESCAPE SEPARATOR KEEP OVER FILTER WITHIN CLUSTER DISTRIBUTE SORT SETTINGS OPTION EMIT UNPIVOT MEMBER DO MATCHED PREFERRING MATCH_RECOGNIZE VERSIONS SEARCH CYCLE".split()
 )
 UNITS = set("MICROSECOND MILLISECOND SECOND MINUTE HOUR DAY WEEK MONTH QUARTER YEAR SECONDS MINUTES HOURS DAYS WEEKS MONTHS QUARTERS YEARS".split())
+#: What goes on with an expression behind an operand.
+BINDS = set("= <> != < > <= >= <=> *= =* ~ ~* !~ !~* @> <@ ? ?| ?& && || & | ^ << >> + - * / % DIV MOD AND OR XOR NOT IS ISNULL NOTNULL OVERLAPS MEMBER GLOBAL LIKE ILIKE RLIKE REGEXP SIMILAR BETWEEN IN".split())
 COMPARE = {"=", "<>", "!=", "<", ">", "<=", ">=", "<=>"}
 
 
@@ -551,7 +553,13 @@ class Parser:
     # --- expressions, loosest first
 
     def expr(self) -> Any:
-        left = self.xor()
+        first = None
+        if self.toks[self.i].upper != "NOT":
+            first = self.unary()  # most expressions are one operand: nothing that binds follows
+            t = self.toks[self.i]
+            if t.upper not in BINDS and t.kind != "param":
+                return first
+        left = self.xor(first)
         while self.t.upper == "OR" or self.t.text == "||" and not self.d.concat_pipes:
             self.i += 1
             left = A.Bin("OR", left, self.xor())
@@ -574,26 +582,26 @@ class Parser:
             k += 1
         return False
 
-    def xor(self) -> Any:
-        left = self.conj()
+    def xor(self, first: Any = None) -> Any:
+        left = self.conj(first)
         while self.eat("XOR"):
             left = A.Bin("XOR", left, self.conj())
         return left
 
-    def conj(self) -> Any:
-        left = self.neg()
+    def conj(self, first: Any = None) -> Any:
+        left = self.neg(first)
         while self.t.upper == "AND" or self.t.text == "&&" and self.d.name in ("mysql", "hive", "spark"):
             self.i += 1
             left = A.Bin("AND", left, self.neg())
         return left
 
-    def neg(self) -> Any:
-        if self.eat("NOT"):
+    def neg(self, first: Any = None) -> Any:
+        if first is None and self.eat("NOT"):
             return A.Un("NOT", self.neg())
-        return self.comparison()
+        return self.comparison(first)
 
-    def comparison(self) -> Any:
-        left = self.bits()
+    def comparison(self, first: Any = None) -> Any:
+        left = self.bits(first)
         while True:
             t = self.t
             if t.kind == "op" and (t.text in COMPARE or t.text in ("*=", "=*")):
@@ -657,24 +665,24 @@ class Parser:
                     escape = self.bits() if self.eat("ESCAPE") else None
                     left = A.Like("RLIKE" if op == "REGEXP" else op, left, pattern, escape, negated)
 
-    def bits(self) -> Any:
-        left = self.add()
+    def bits(self, first: Any = None) -> Any:
+        left = self.add(first)
         while self.t.kind == "op" and self.t.text in ("&", "|", "<<", ">>") or self.t.text == "^" and not self.d.caret_power:
             op = self.t.text
             self.i += 1
             left = A.Bin(op, left, self.add())
         return left
 
-    def add(self) -> Any:
-        left = self.mul()
+    def add(self, first: Any = None) -> Any:
+        left = self.mul(first)
         while self.t.kind == "op" and (self.t.text in ("+", "-") or self.t.text == "||" and self.d.concat_pipes):
             op = self.t.text
             self.i += 1
             left = A.Bin(op, left, self.mul())
         return left
 
-    def mul(self) -> Any:
-        left = self.unary()
+    def mul(self, first: Any = None) -> Any:
+        left = self.unary() if first is None else first
         while self.t.kind == "op" and self.t.text in ("*", "/", "%") or self.t.upper in ("DIV", "MOD"):
             op = self.t.upper
             self.i += 1

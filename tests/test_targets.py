@@ -89,7 +89,7 @@ def test_two_engines_and_spark_agree(bases, spark, source, sql):
     assert sorted(map(str, a)) == sorted(map(str, b)) == sorted(map(str, c))
 
 
-def test_tables():
+def test_tables(spark):
     ddl = "CREATE TABLE IF NOT EXISTS s.users (id BIGINT UNSIGNED NOT NULL AUTO_INCREMENT, name VARCHAR(32) NOT NULL DEFAULT 'x' COMMENT 'the name', age INT(11) UNSIGNED, paid DECIMAL(10,2), at DATETIME, ok BOOLEAN, note TEXT, PRIMARY KEY (id), KEY by_name (name)) ENGINE=InnoDB"
     want = {
         "postgres": "CREATE TABLE s.users (id BIGSERIAL NOT NULL, name VARCHAR(32) DEFAULT 'x' NOT NULL, age BIGINT, paid DECIMAL(10,2), at TIMESTAMP, ok BOOLEAN, note TEXT, PRIMARY KEY (id))",
