@@ -38,7 +38,7 @@ from .models import SoftmaxRegression
 from .terms import fold
 
 BITS = 8
-SAMPLE_PER_DOMAIN = 500  # labelled documents of each domain that the classifier is fitted on, at most
+SAMPLE_PER_DOMAIN = 500  # labelled rows of each domain that the classifier is fitted on, at most
 RIDGE = 0.005
 STEPS = 24
 TOLERANCE = 0.02  # of a domain's target: the largest residual that the steps may leave
@@ -80,10 +80,15 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
         for b in batches:
             out = []
             for lo, hi, data, off in blocks(b.column("text"), 1 << 18):
-                out += [v.astype("<f4").tobytes() for v in vectors(data, off)[0]]
+                for a in range(0, hi - lo, 2048):  # short rows: bounded feature matrices
+                    z = min(a + 2048, hi - lo)
+                    out += [v.astype("<f4").tobytes() for v in vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(out, pa.binary())], ["id", "k", "x"])
 
-    rows = texts.mapInArrow(run, "id long, k int, x binary").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("x", "ascending")])
+    found = texts.mapInArrow(run, texts.select("id", "k", F.lit(b"").alias("x")).schema)
+    # Ids may repeat: so many rows of each domain at most, each task keeping only such a top list.
+    top = [found.where(F.col("k") == k).orderBy(F.xxhash64("id"), "id", "x").limit(per_domain) for k in range(len(domains))]
+    rows = reduce(DataFrame.unionByName, top).toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("x", "ascending")])
     if not rows.num_rows:
         return None
     x = np.stack([np.frombuffer(v, "<f4") for v in rows.column("x").to_pylist()])

@@ -485,6 +485,15 @@ def test_mixing_rates_meet_targets(spark):
     assert {r.rate for r in bare} == {1.0} and {r.copies for r in bare} == {1} and Counter(r.n_words for r in bare) == Counter(len(WORD.findall(x[1] or "")) for x in rows)
 
 
+def test_mixing_with_text_ids_and_repeated_ones(spark):
+    rows = [(f"d{k}", prose(k, 40) if k % 4 else " ".join(w[::-1] for w in prose(k, 30).split()), "en" if k % 4 else "de") for k in range(60)] + [("d1", prose(900 + k, 30), "en") for k in range(80)] + [(None, None, "de"), (None, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, domain string")
+    model = mixing.fit_domains(docs, docs.select("doc_id", "domain").distinct(), ["de", "en"], per_domain=20)
+    assert model is not None
+    out = mixing.mix(docs, docs.select("doc_id", "domain").distinct(), {"en": 0.5, "de": 0.5}).collect()
+    assert len(out) == len(rows) and Counter(r.doc_id for r in out) == Counter(i for i, _, _ in rows)
+
+
 def test_mixing_rare_and_absent_domains(spark):
     r = np.random.default_rng(8)
     pure = np.array([[0.96, 0.02, 0.01, 0.01], [0.02, 0.96, 0.01, 0.01], [0.01, 0.01, 0.97, 0.01], [0.01, 0.01, 0.01, 0.97]])
