@@ -91,43 +91,64 @@ def level(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
     return raw + lo
 
 
-PAIR_TERMS = 128  # terms of a document that are tried in pairs, at most: those of the least hash, so that documents agree on them
-PAIR_BITS = 22
+PAIR_BLOCK = 512  # columns of a block in which pairs are counted
 
 
 def paired(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, p: np.ndarray, usable: np.ndarray, least_z: float = 6.0, least_df: int = 30) -> np.ndarray:
     """Which features are in a pair whose documents' labels differ from the probabilities p by least_z standard errors, in sum.
 
-    Pairs meet in a table of hashed sums, so memory is fixed; two pairs in one entry may hide each other or bring in a feature in vain.
+    All pairs of usable features are judged, exactly. A pair's documents are some of those of either feature, so a feature of which no choice of
+    documents comes to least_z (`most_z`) is in no such pair; the others are counted in all pairs, by products of blocks of columns, so memory is bounded.
     """
+    off, var = y - p, p * (1 - p)
+    usable = usable & (np.bincount(feats, minlength=len(usable)) >= least_df)
     keep = usable[feats]
     rows, feats = rows[keep], feats[keep]
-    key = (feats.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    order = np.lexsort((key, rows))
-    rows, feats, key = rows[order], feats[order], key[order]
-    bounds = np.searchsorted(rows, np.arange(len(y) + 1))
-    size = 1 << PAIR_BITS
-    gap, spread, count = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
-    var, off = p * (1 - p), y - p
-
-    def pairs(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = slice(bounds[i], min(bounds[i + 1], bounds[i] + PAIR_TERMS))
-        f, k = feats[a], key[a]
-        x, z = np.triu_indices(len(f), 1)
-        return f[x], f[z], (((k[x] + k[z]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-    for i in range(len(y)):
-        _, _, at = pairs(i)
-        gap[at] += off[i]
-        spread[at] += var[i]
-        count[at] += 1
-    strong = (count >= least_df) & (np.abs(gap) >= least_z * np.sqrt(spread + 0.25))
     out = np.zeros(len(usable), bool)
-    if strong.any():
-        for i in range(len(y)):
-            a, b, at = pairs(i)
-            hit = strong[at]
-            out[a[hit]] = out[b[hit]] = True
+    for sign in (1, -1):
+        able = np.flatnonzero(most_z(rows, feats, sign * off, var, len(usable)) >= least_z * (1 - 1e-6))
+        place = np.full(len(usable), -1)
+        place[able] = np.arange(len(able))
+        own = place[feats]
+        order = np.argsort(own, kind="stable")
+        docs, own = rows[order], own[order]
+
+        def columns(lo: int, docs=docs, own=own, width=len(able)) -> np.ndarray:
+            hi = min(lo + PAIR_BLOCK, width)
+            x = np.zeros((len(y), hi - lo))
+            at = slice(*np.searchsorted(own, [lo, hi]))
+            x[docs[at], own[at] - lo] = 1
+            return x
+
+        for i in range(0, len(able), PAIR_BLOCK):
+            a = columns(i).T
+            for j in range(i, len(able), PAIR_BLOCK):
+                b = columns(j)
+                strong = (a @ b >= least_df) & (sign * (a @ (b * off[:, None])) >= least_z * np.sqrt(a @ (b * var[:, None]) + 0.25))
+                if i == j:
+                    np.fill_diagonal(strong, False)
+                out[able[i : i + PAIR_BLOCK][strong.any(1)]] = True
+                out[able[j : j + PAIR_BLOCK][strong.any(0)]] = True
+    return out
+
+
+def most_z(rows: np.ndarray, feats: np.ndarray, gain: np.ndarray, var: np.ndarray, n: int) -> np.ndarray:
+    """For each of n features the most that sum(gain) / sqrt(sum(var) + 0.25) comes to over any choice of its documents.
+
+    sum(gain) - z * sqrt(sum(var) + 0.25) is convex in both sums, so the best choice is a corner of their hull: the first documents by gain / var.
+    """
+    best = np.argsort(-gain / np.maximum(var, 1e-300), kind="stable")
+    rank = np.empty(len(best), np.int64)
+    rank[best] = np.arange(len(best))
+    good = gain[rows] > 0
+    keys = np.sort(feats[good] * len(best) + rank[rows[good]])
+    out = np.zeros(n)
+    if len(keys):
+        of, docs = keys // len(best), best[keys % len(best)]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        sizes = np.diff(np.r_[starts, len(of)])
+        sums = [np.cumsum(x[docs]) - np.repeat(np.cumsum(x[docs])[starts] - x[docs[starts]], sizes) for x in (gain, var)]
+        out[of[starts]] = np.maximum.reduceat(sums[0] / np.sqrt(sums[1].clip(0) + 0.25), starts)
     return out
 
 

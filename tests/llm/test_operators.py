@@ -403,6 +403,62 @@ def test_toxicity_of_pairs_alone(spark):
     assert np.mean([(scored[k] >= 0.5) == marks[k][2] for k in held]) > 0.95
 
 
+def test_toxicity_of_pairs_in_long_texts(spark):
+    """The same among 500 other terms in each text: none of its pairs may be left out."""
+    r = np.random.default_rng(1)
+    words = ["".join(chr(97 + int(c)) for c in f"{k:05}") for k in range(1000, 1600)]
+    rows, marks = [], []
+    for k in range(1200):
+        a, b = r.integers(0, 2, 2)
+        rows.append((k, " ".join(r.permutation([*r.choice(words, 500, False), ("vilo", "grub")[a], ("kin", "folk")[b]]))))
+        marks.append((k, 1, int(a == b)))
+    train, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    scored = {x.doc_id: x.score for x in toxicity.score(train, toxicity.fit(train, labels)).collect()}
+    held = [k for k in scored if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(scored[k] >= 0.5) == marks[k][2] for k in held]) > 0.9
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_pairs_against_all_pairs(monkeypatch, block):
+    """Pairs of features that the probabilities don't explain, some with far more than 128 others in their rows, against a plain loop over all pairs."""
+    from quillon.llm import models
+
+    monkeypatch.setattr(models, "PAIR_BLOCK", block)
+    r = np.random.default_rng(3)
+    x = r.random((600, 240)) < r.uniform(0.05, 0.95, 240)
+    p = r.uniform(0.05, 0.6, 600)
+    y = (r.random(600) < p).astype(np.int64)
+    for a, b, to in ((3, 200, 1), (77, 150, 0), (9, 239, 1), (200, 201, 0)):
+        x[:, [a, b]] = r.random((600, 2)) < 0.5
+        y[x[:, a] & x[:, b]] = to
+    x[:, 10], x[:, 11] = x[:, 3], np.arange(600) < 29
+    want = np.zeros(250, bool)
+    for a in range(240):
+        for b in range(a):
+            m = x[:, a] & x[:, b]
+            if m.sum() >= 30 and abs((y - p)[m].sum()) >= 6 * np.sqrt((p * (1 - p))[m].sum() + 0.25):
+                want[[a, b]] = a != 20 and b != 20
+    rows, feats = np.nonzero(x)
+    usable = np.arange(250) != 20
+    got = models.paired(rows, feats, y, p, usable)
+    assert 4 < want.sum() < 240 and (got == want).all()
+    assert not models.paired(rows[:0], feats[:0], y, p, usable).any()
+
+
+def test_most_z_against_all_choices():
+    from quillon.llm import models
+
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        x = r.random((9, 4)) < 0.7
+        x[:, 3] = False
+        gain, var = r.normal(0, 1, 9), r.uniform(0, 0.25, 9) * r.integers(0, 2, 9)
+        got = models.most_z(*np.nonzero(x), gain, var, 4)
+        for f in range(4):
+            chosen = [[d for k, d in enumerate(np.flatnonzero(x[:, f])) if bits >> k & 1] for bits in range(1 << x[:, f].sum())]
+            assert abs(got[f] - max(gain[c].sum() / np.sqrt(var[c].sum() + 0.25) for c in chosen)) < 1e-9
+
+
 def test_sample_is_bounded_where_ids_repeat(spark):
     from quillon.llm import terms
 
