@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing, ngram_join, packing, quality_rules, toxicity
-from quillon.llm.common import Scratch, read
+from quillon.llm.common import Scratch, bound_batches, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic; the classifier is fitted on the labelled rows among docs."""
+    bound_batches(spark)
     return toxicity.keep_civil(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights ask for; labelled rows give the domains."""
+    bound_batches(spark)
     ids = read(spark, sf_dir, "labels").select("doc_id").distinct()
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(ids, "doc_id", "left_semi")
     return mixing.resample(docs, labelled)
@@ -37,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
+    bound_batches(spark)
     return packing.pack(docs, packing.default_vocabulary())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word, in every operator
-BLOCK_BYTES = 1 << 21  # text bytes that one vectorised step works on
+BLOCK_BYTES = 1 << 19  # text bytes that one vectorised step works on; its arrays hold several 8-byte numbers for each
+BATCH_BYTES = 1 << 22  # of a batch that Spark sends to Python, where bound_batches() was called
 
 _U = np.uint64
 _POW_BASE = 0x9E3779B97F4A7C55
@@ -67,6 +69,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on, batches that the session sends to Python hold about BATCH_BYTES at most, or the session's own bound if that is lower.
+
+    Spark's own bound is 64 MB. A batch is held in the JVM beside the heap, as vectors and as their stream, and in Python once more, by each
+    task. No result depends on how rows are dealt to batches. It stays set, as what a stage returns is computed later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name).strip().lower()  # a number of bytes, with or without a unit
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(found)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function for mapInArrow, whose worker keeps no freed memory when a task is over: workers outlive tasks and wait beside the JVM through stages without Python."""
+
+    def tidy(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own allocator keeps what is freed
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, list]:
     """The table with columns c0, c1, … that no helper column clashes with, and what selects the old names back."""
     names = [f"c{i}" for i in range(len(df.columns))]
@@ -86,7 +122,7 @@ def add_column(df: DataFrame, out_col: str, kind: str, compute: Callable[..., pa
         for b in slices(batches, rows):
             yield pa.RecordBatch.from_arrays([*b.columns, compute(*(b.column(i) for i in at))], [*b.schema.names, "added"])
 
-    out = plain.mapInArrow(run, plain.withColumn("added", F.lit(None).cast(kind)).schema)
+    out = plain.mapInArrow(lean(run), plain.withColumn("added", F.lit(None).cast(kind)).schema)
     return out.select(*kept, F.col("added").alias(out_col))
 
 

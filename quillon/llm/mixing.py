@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, add_column, blocks, hash_spans, plain_names, read, words
+from .common import Scratch, add_column, blocks, hash_spans, lean, plain_names, read, words
 from .models import SoftmaxRegression
 from .terms import fold
 
@@ -85,7 +85,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
                     out += [v.astype("<f4").tobytes() for v in vectors(data[off[a] : off[z]], off[a : z + 1] - off[a])[0]]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(out, pa.binary())], ["id", "k", "x"])
 
-    found = texts.mapInArrow(run, texts.select("id", "k", F.lit(b"").alias("x")).schema)
+    found = texts.mapInArrow(lean(run), texts.select("id", "k", F.lit(b"").alias("x")).schema)
     # Ids may repeat: so many rows of each domain at most, each task keeping only such a top list.
     top = [found.where(F.col("k") == k).orderBy(F.xxhash64("id"), "id", "x").limit(per_domain) for k in range(len(domains))]
     rows = reduce(DataFrame.unionByName, top).toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("x", "ascending")])
@@ -147,7 +147,7 @@ def add_up(soft: DataFrame, k: int, size: int, part: Callable[[np.ndarray, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], ["k", "v"])
 
     sums = np.zeros(size)
-    for r in soft.select("n_words", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in soft.select("n_words", "p").mapInArrow(lean(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         sums[r["k"]] = r["v"]
     return sums
 

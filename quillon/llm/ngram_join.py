@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, Scratch, blocks, hash_spans, mix, plain_names, read, words
+from .common import LOWER, Scratch, blocks, hash_spans, lean, mix, plain_names, read, words
 from .graph import components
 
 N = 5  # words in a shingle
@@ -112,7 +112,12 @@ def _counter(range_bits: int):
         held, n, small = [], 0, np.zeros(18, np.int64)
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held) >> _U(64 - COUNT_BITS), return_counts=True)
+            keys = np.concatenate(held)
+            held.clear()
+            keys >>= _U(64 - COUNT_BITS)
+            keys.sort()
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(at, append=len(keys)), keys[at]
             span = keys >> _U(COUNT_BITS - range_bits)
             first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
             last = np.append(first[1:], len(keys))
@@ -128,7 +133,7 @@ def _counter(range_bits: int):
                         small[min(len(s), 17)] += 1
                 if n >= 1 << 21:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([small.astype("<i8").tobytes()], pa.binary())], ["span", "packed"])
@@ -185,7 +190,7 @@ def token_order(docs: DataFrame) -> Order:
     """docs: (id, text)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     range_bits = min(max(8, (4 * parts - 1).bit_length()), LEVEL_BITS)
-    counted = docs.select("text").mapInArrow(_counter(range_bits), "span int, packed binary")
+    counted = docs.select("text").mapInArrow(lean(_counter(range_bits)), "span int, packed binary")
     merged = counted.groupBy("span").applyInArrow(_merger(range_bits), "span int, seen binary, level binary, many long, entries long")
     seen, level = np.zeros(1 << (SEEN_BITS - 3), np.uint8), np.zeros(1 << LEVEL_BITS, np.uint8)
     sizes, many, entries = np.zeros(18, np.int64), 0, 0
@@ -273,7 +278,7 @@ def _verify(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
                 keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * len(both))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -324,7 +329,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     handle = docs.sparkSession.sparkContext.broadcast(token_order(texts))
     marked = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     schema = marked.select("id", "mark", *(F.lit(None).cast(t).alias(c) for c, t in _DOC.items())).schema
-    found = scratch.table(marked.mapInArrow(_emitter(handle), schema), "docs")
+    found = scratch.table(marked.mapInArrow(lean(_emitter(handle)), schema), "docs")
     # Written, so that joins on a hot pivot have nothing but exchanges below them, which can be split.
     listed = scratch.table(found.where(F.col("entries").isNotNull()).select("node", "n", "entries", "shingles").dropDuplicates(["node"]), "listed")
     posted = scratch.table(listed.select("node", "n", F.inline("entries")).dropDuplicates(["key", "node"]), "posted")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, blocks, hash_spans, read, runs, slices, words
+from .common import Scratch, blocks, hash_spans, lean, read, runs, slices, words
 from .terms import fold
 
 SIZE = 4096
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     columns = {"uid": "long", "piece": "int", "start": "long", "length": "int", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
-    return texts.mapInArrow(run, texts.select("id", *(F.lit(None).cast(t).alias(c) for c, t in columns.items())).schema)
+    return texts.mapInArrow(lean(run), texts.select("id", *(F.lit(None).cast(t).alias(c) for c, t in columns.items())).schema)
 
 
 # --- plan --------------------------------------------------------------------------------------------------------
@@ -354,7 +354,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     columns = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "binary"} if with_ids else {})
     schema = ranked.select(F.col("id").alias(id_col), *(F.lit(None).cast(t).alias(c) for c, t in columns.items())).schema
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)
 
 
 def _int_map(keys: np.ndarray, values: np.ndarray):

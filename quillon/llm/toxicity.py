@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_column, blocks, held_out, plain_names, read, slices
+from .common import add_column, blocks, held_out, lean, plain_names, read, slices
 from .models import FactorizationMachine, sigmoid
 from .terms import SAMPLE_PER_LABEL, bounded, sample, term_hashes
 
@@ -44,7 +44,7 @@ def _pack(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = SAMPLE_PER_LABEL) -> FactorizationMachine | None:
     found = sample(docs, labels, label, id_col, text_col, per_label)
-    rows = found.mapInArrow(_pack, found.select("id", "y", F.lit(b"").alias("terms")).schema)
+    rows = found.mapInArrow(lean(_pack), found.select("id", "y", F.lit(b"").alias("terms")).schema)
     rows = bounded(rows, "terms", per_label=per_label).toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("terms", "ascending")])
     y = np.array(rows.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:

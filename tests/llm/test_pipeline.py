@@ -116,3 +116,31 @@ def test_run_returns_the_last_stage(spark, data):
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def worker_mb(spark):
+    """MB of each Python worker's own memory."""
+    def run(batches):
+        import os
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        mb = int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([mb])], ["pid", "mb"])
+
+    return {r["pid"]: r["mb"] for r in spark.range(0, 8, 1, 8).mapInArrow(run, "pid long, mb double").collect()}
+
+
+def test_workers_get_bounded_batches_and_give_memory_back(spark, data):
+    import pyarrow as pa
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: F.md5((F.col("doc_id") * 1000 + i).cast("string"))), " ")
+    docs = spark.range(0, 3000, 1, 2).withColumnRenamed("id", "doc_id").withColumn("text", text)  # 70 MB in two tasks
+    pipeline.packed(spark, docs, data)  # from here on the session's batches are bounded
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 60e6 and max(r["n"] for r in sizes) < 6e6
+    pipeline.near_duplicates(spark, docs, data).write.format("noop").mode("overwrite").save()
+    assert max(worker_mb(spark).values()) < 120
